@@ -1,9 +1,12 @@
 """Named queries that apply the operators to the supplied tables, and their SQL."""
 
+from . import graphs, jobs, pairs, rasters, statistics, tables, texts  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
