@@ -12,7 +12,8 @@ WGS84_M, WGS84_F = 6_378_137.0, 1 / 298.257223563
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() would skip a null.
+    return F.when(a.isNotNull(), F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def angle_delta_deg(a: Column, b: Column) -> Column:

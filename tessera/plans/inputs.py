@@ -48,8 +48,9 @@ NEAREST = """nearest AS (
 
 def hav_sql(a: str, b: str) -> str:
     return (
+        f"CASE WHEN {a}.latitude + {b}.latitude + {a}.longitude + {b}.longitude IS NOT NULL THEN "
         f"2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians({b}.latitude - {a}.latitude) / 2) ** 2 "
-        f"+ cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * sin(radians({b}.longitude - {a}.longitude) / 2) ** 2)))"
+        f"+ cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * sin(radians({b}.longitude - {a}.longitude) / 2) ** 2))) END"
     )
 
 

@@ -97,7 +97,7 @@ def dispatch_retry_stream(events: DataFrame, retry_s: float = 2.0, most: int = 3
             yield pd.DataFrame([(key[0], most, "failed")], columns=["archive_id", "attempts", "outcome"])
             return
         for batch in batches:
-            for kind, at in zip(batch["kind"], (batch["event_time"].astype("int64") / 1e9).tolist(), strict=True):
+            for kind, at in zip(batch["kind"], (batch["event_time"].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), strict=True):
                 if kind == "dispatch_requested":
                     asked = at if asked is None else min(asked, at)
                 elif kind in ("dispatched", "dispatch_failed"):
