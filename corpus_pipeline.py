@@ -15,8 +15,7 @@ from tessera.llm import common, langid, packing, quality, secrets, simhash
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike any language that their lang column teaches, go. Null texts go with them."""
     learned = langid.prototypes(docs.where(F.coalesce(common.crc_mod("doc_id", langid.HELD_OUT) != 0, F.lit(True))))
-    marked = langid.predict(docs, learned)
-    return marked.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST_SCORE)).select(docs.columns)
+    return langid.accepted(docs, learned)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +27,15 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays; rows without doc_id stay."""
+    """Of each group of near duplicates the document with the least doc_id stays. Rows that repeat a doc_id are one
+    document, of which one row stays; rows without doc_id stay."""
     groups = simhash.near_duplicates(docs)
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(others, "doc_id", "left_anti")
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
+    # Only repeated ids are shuffled for it.
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
