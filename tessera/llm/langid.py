@@ -21,6 +21,10 @@ CELLS = 4_000_000
 #: Languages whose trigram counts a task holds before it bundles them.
 HELD_LANGUAGES = 24
 UNKNOWN = "und"
+#: Trigrams of a text that count in full towards a prototype; those of longer texts count for less, so that no text
+#: outweighs the others. Weights are whole numbers of UNITs.
+FULL_TRIGRAMS = 1000
+UNIT = 1024
 #: Below this score a text resembles no known language.
 LEAST_SCORE = 0.5
 
@@ -119,7 +123,7 @@ def profiles(dimensions: int, seed: int) -> Profiles:
 def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, list[int]]:
     """The bundle of each language's texts in labelled(text, lang). Nulls in either column take no part.
 
-    Every text counts. A task sends one vector per language, and Spark adds them up, so what reaches the driver is a vector
+    Every text counts, by its trigrams up to FULL_TRIGRAMS. A task sends one vector per language, and Spark adds them up, so what reaches the driver is a vector
     per language whatever the size of the corpus.
     """
 
@@ -138,6 +142,8 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
 
         def work(rows):
             owner, code = p.trigrams(rows["text"])
+            sizes = np.maximum(np.bincount(owner, minlength=len(rows["text"])), 1)
+            weight = np.maximum(np.rint(UNIT * np.minimum(1.0, FULL_TRIGRAMS / sizes)), 1)[owner]
             langs = sorted(set(rows["lang"]))
             number = {lang: i for i, lang in enumerate(langs)}
             of = np.array([number[x] for x in rows["lang"]])[owner]
@@ -146,8 +152,8 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
                     if len(counts) >= HELD_LANGUAGES:
                         settle()
                     counts[lang] = np.zeros(ALPHABET**3, np.int64)
-                n = np.bincount(code[of == i], minlength=1)
-                counts[lang][: len(n)] += n
+                n = np.bincount(code[of == i], weights=weight[of == i], minlength=1)
+                counts[lang][: len(n)] += n.astype(np.int64)
             return None
 
         def finish():
@@ -164,43 +170,62 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
     return {r["lang"]: [x["x"] for x in r["vector"]] for r in rows}
 
 
-def predict(docs: DataFrame, learned: dict[str, list[int]], dimensions: int = DIMENSIONS, seed: int = SEED, keep_text: bool = True) -> DataFrame:
-    """Adds lang_pred and score to docs(text, ...), whose other columns stay (text only if keep_text is set). score is (1 + cosine) / 2, rounded.
+class Judge:
+    """Tells the languages of texts by learned prototypes."""
 
-    und, with score 0, where the text is null or has no letter, or nothing was learned. Ties go to the first language by
-    name.
-    """
-    from pyspark.sql import types as T
+    def __init__(self, learned: dict[str, list[int]], dimensions: int = DIMENSIONS, seed: int = SEED):
+        import numpy as np
 
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*(f for f in kept if keep_text or f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = sorted(learned)
+        self.profiles = profiles(dimensions, seed)
+        self.names = sorted(learned)
+        known = np.array([learned[x] for x in self.names], np.float64).reshape(len(self.names), dimensions)
+        self.known = known / np.maximum(np.sqrt((known**2).sum(axis=1, keepdims=True)), 1e-300)
 
-    def start():
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores, (1 + cosine) / 2. und, with score 0, where the text is null or has no letter, or nothing
+        was learned; ties go to the first language by name."""
         import numpy as np
 
-        p = profiles(dimensions, seed)
-        known = np.array([learned[x] for x in names], np.float64).reshape(len(names), dimensions)
-        known = known / np.maximum(np.sqrt((known**2).sum(axis=1, keepdims=True)), 1e-300)
+        if not self.names:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        vectors, sizes = self.profiles.encode([t or "" for t in texts])
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = np.where(norms[:, None] > 0, vectors @ self.known.T / norms[:, None], 0.0).round(9)
+        best, told = cosine.argmax(axis=1), sizes > 0
+        top = cosine[np.arange(len(best)), best].tolist()
+        names = [self.names[b] if t else UNKNOWN for b, t in zip(best, told, strict=True)]
+        return names, [round(min(1.0, max(0.0, (1 + c) / 2)), 6) if t else 0.0 for c, t in zip(top, told, strict=True)]
+
+
+def predict(docs: DataFrame, learned: dict[str, list[int]], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of docs(doc_id, held_out, text)."""
+
+    def start():
+        judge = Judge(learned, dimensions, seed)
+
+        def work(rows):
+            lang, score = judge(rows["text"])
+            return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "lang_pred": lang, "score": score}
+
+        return work
+
+    return map_slices(docs.select("doc_id", "held_out", "text"), PREDICTED, start)
+
+
+def accepted(docs: DataFrame, learned: dict[str, list[int]], least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs(text, ...) whose text resembles a learned language, with the columns of docs."""
+
+    def start():
+        judge = Judge(learned)
 
         def work(rows):
-            vectors, sizes = p.encode([t or "" for t in rows["text"]])
-            norms = np.sqrt((vectors**2).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = np.where(norms[:, None] > 0, vectors @ known.T / norms[:, None], 0.0).round(9)
-            if names:
-                best = cosine.argmax(axis=1)
-                told = sizes > 0
-                rows["lang_pred"] = [names[b] if t else UNKNOWN for b, t in zip(best, told, strict=True)]
-                top = cosine[np.arange(len(best)), best]
-                rows["score"] = [round(min(1.0, max(0.0, (1 + c) / 2)), 6) if t else 0.0 for c, t in zip(top.tolist(), told, strict=True)]
-            else:
-                rows["lang_pred"], rows["score"] = [UNKNOWN] * len(sizes), [0.0] * len(sizes)
-            return rows
+            keep = [i for i, (lang, score) in enumerate(zip(*judge(rows["text"]), strict=True)) if lang != UNKNOWN and score >= least]
+            return {k: [v[i] for i in keep] for k, v in rows.items()}
 
         return work
 
-    return map_slices(docs.select([f"`{f.name}`" for f in kept]), schema, start)
+    return map_slices(docs, docs.schema, start)
 
 
 HELD_OUT = 5
@@ -214,7 +239,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", F.coalesce(crc_mod("doc_id", HELD_OUT) == 0, F.lit(False)).alias("held_out"))
     learned = prototypes(rows.where(~F.col("held_out")))
-    return predict(rows.select("doc_id", "held_out", "text"), learned, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows, learned)
 
 
 def op4_hyperdimensional_langid(spark, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     """The k highest integer inner products of each query with all rows but its own vec_id; ties to the smaller vec_id.
 
     Both sides have (vec_id, embedding). Gives query_id, rank from 1, vec_id, score; fewer than k where fewer take part.
-    Repeated rows compete each for itself. Empty tables give no rows.
+    Repeated rows compete each for itself. Empty tables give no rows. Scores have to fit a long.
     """
     shards = blocks(vectors, shard_rows, scale)
     asked = blocks(queries, block_queries, scale)
