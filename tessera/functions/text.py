@@ -150,3 +150,8 @@ def xmp_attributes(text: Column) -> Column:
     entries = F.arrays_zip(names.alias("key"), values.alias("value"))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == e["key"]))
     return F.map_from_entries(last)
+
+
+def grid_size(extent_px: Column, px_per_m: float = 100.0, spacing_m: float = 5.0) -> Column:
+    """How many cells of a labelled grid an extent takes."""
+    return F.ceil(extent_px / (px_per_m * spacing_m)).cast("int")
