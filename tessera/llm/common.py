@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that a Python task turns into Python objects at a time; an Arrow batch may hold many more.
+#: Rows, and bytes of texts, that a Python task turns into Python objects at a time. A longer text goes alone.
 SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session does not say. Texts take kilobytes each.
+BATCH_ROWS = 1000
 
 _SHIPPED = "tessera.shipped"
 
@@ -64,6 +67,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slice_ends(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> list[int]:
+    """Where slices of a batch end, so that none has more than `rows` rows, or than `size` bytes unless one row has."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    bytes_of = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            bytes_of += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, ends, at = np.cumsum(bytes_of), [], 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        at = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, "right"))))
+        at = min(at, batch.num_rows)
+        ends.append(at)
+    return ends
+
+
 def map_slices(df: DataFrame, schema: str | T.StructType, start: Callable, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Runs `start()` once per task, which returns a function from a slice (dict of lists) to a dict of lists.
 
@@ -71,14 +92,18 @@ def map_slices(df: DataFrame, schema: str | T.StructType, start: Callable, slice
     Batches are cut into slices, so that a task holds few Python objects whatever the size of the Arrow batches.
     """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                out = work(batch.slice(at, slice_rows).to_pydict())
+            at = 0
+            for end in slice_ends(batch, slice_rows):
+                out = work(batch.slice(at, end - at).to_pydict())
+                at = end
                 if out and len(next(iter(out.values()))):
                     yield pa.RecordBatch.from_pydict({k: out[k] for k in arrow.names}, schema=arrow)
         finish = getattr(work, "finish", None)

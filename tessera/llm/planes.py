@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_slices, shared_path, ship
+from .common import SLICE_ROWS, map_slices, shared_path, ship, slice_ends
 from .wordbpe import END_ID, encoder
 
 MAGIC = b"TPLANES1"
@@ -183,8 +183,10 @@ def write_planes(docs: DataFrame, path: str, unit: str = "byte", tokenizer: str
         number = context.partitionId()
         enc, writer, store = encoder(tokenizer), None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pydict()
+            at = 0
+            for end in slice_ends(batch, SLICE_ROWS):
+                rows = batch.slice(at, end - at).to_pydict()
+                at = end
                 for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
                     if writer is None:
                         files, folder = _filesystem(path)

@@ -14,8 +14,8 @@ import numpy as np
 from .common import per_worker
 
 #: Words and word stems that a worker keeps; further ones are encoded each time they occur.
-KEEP_WORDS = 350_000
-KEEP_STEMS = 350_000
+KEEP_WORDS = 150_000
+KEEP_STEMS = 250_000
 
 END_ID = (1).to_bytes(4, "little")
 

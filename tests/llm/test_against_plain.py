@@ -159,7 +159,6 @@ def test_secrets(spark, sf_dir, texts):
         want = plain_secrets(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in want) for k in ("assign", "access", "hex")]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
-    assert sum(r["n_assign"] for r in got) and sum(r["n_hex"] for r in got)
 
 
 def test_byte_bpe(spark, sf_dir, texts):

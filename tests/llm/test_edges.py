@@ -352,3 +352,18 @@ def test_swapped_replies_edges(spark):
     got = {r["conv_id"]: (r["other_id"], [t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in preference.swapped_replies(df).collect()}
     assert got == {0: (1, ["q", "a0", "a0"], ["q", "a0", None]), 1: (0, [None], ["a0"])}
     assert preference.swapped_replies(df.limit(0)).count() == 0
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    from tessera.llm.common import slice_ends
+
+    rng = random.Random(1)
+    sizes = [rng.choice([0, 10, 400, 5000]) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n if n else None for n in sizes], "n": sizes})
+    at = 0
+    for end in slice_ends(batch, 16, 2000):
+        assert at < end <= at + 16 and (sum(sizes[at:end]) <= 2000 or end == at + 1)
+        at = end
+    assert at == 200 and slice_ends(batch.slice(0, 0), 16) == []
