@@ -42,7 +42,7 @@ def mean_track_error(spark, sf_dir):
 
 @query(
     "remapped_matches",
-    """WITH m AS (SELECT l_suppkey AS image_a, l_linenumber AS image_b, l_partkey % 50 AS idx_a, l_orderkey % 50 AS idx_b FROM lineitem)
+    """WITH m AS (SELECT l_suppkey AS image_a, CAST(l_linenumber AS BIGINT) AS image_b, l_partkey % 50 AS idx_a, l_orderkey % 50 AS idx_b FROM lineitem)
     SELECT DISTINCT image_a, image_b, idx_a // 3 AS idx_a, idx_b // 3 AS idx_b FROM m WHERE idx_a % 10 <> 0 AND idx_b % 10 <> 0""",
 )
 def remapped_matches(spark, sf_dir):

@@ -62,8 +62,8 @@ def pairs_degree_capped(spark, sf_dir):
     return P.select_pairs(I.located(spark, sf_dir), cap=3).withColumns({c: F.round(c, 6) for c in ("gps_distance_m", "view_angle_delta_deg")})
 
 
-PLACED = """p AS (SELECT s_suppkey, s_nationkey, ((s_suppkey * 37) % 1400) / 10.0 - 70.0 AS latitude, ((s_suppkey * 91) % 3600) / 10.0 - 180.0 AS longitude,
-  CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 10.0 END AS altitude_m, (s_suppkey * 47) % 360 - 180.0 AS yaw_deg FROM supplier)"""
+PLACED = """p AS (SELECT s_suppkey, s_nationkey, CAST(((s_suppkey * 37) % 1400) / 10.0 - 70.0 AS DOUBLE) AS latitude, CAST(((s_suppkey * 91) % 3600) / 10.0 - 180.0 AS DOUBLE) AS longitude,
+  CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 10.0 END AS altitude_m, CAST((s_suppkey * 47) % 360 - 180.0 AS DOUBLE) AS yaw_deg FROM supplier)"""
 
 
 def placed(spark, sf_dir):
