@@ -85,10 +85,9 @@ def feature(payload: bytes) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """The media table: (digest, media), one row per distinct payload of documents(text); a null text is empty.
+    """Writes the media table of documents(text) and reads it back: (digest, media). A null text is empty.
 
-    Each task leaves out what it has already stored, so that a text which fills a third of the table reaches the shuffle
-    once per task.
+    A task leaves out what it has already stored. Copies that different tasks stored are equal; one_each() takes one.
     """
 
     def start():
@@ -107,7 +106,13 @@ def store(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return materialize(map_slices(docs.select("text"), "digest string, media binary", start), "media").dropDuplicates(["digest"])
+    return materialize(map_slices(docs.select("text"), "digest string, media binary", start), "media")
+
+
+def one_each(media: DataFrame) -> DataFrame:
+    """One row per digest of a media table, or of a table of figures about media."""
+    rest = [c for c in media.columns if c != "digest"]
+    return media.groupBy("digest").agg(F.first(F.struct(*rest)).alias("_m")).select("digest", "_m.*")
 
 
 def pages_of(docs: DataFrame) -> DataFrame:
@@ -199,8 +204,9 @@ def sequences(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def resolve(sequenced: DataFrame, media: DataFrame) -> DataFrame:
-    """One row per item of each sequence, with its media where the digest is stored: key, position, kind, text, digest,
-    caption, n_bytes, media. Texts and unknown digests have null media; sequences without items give no rows.
+    """One row per item of each sequence, with what media(digest, ...) knows of it, payloads or figures: key, position,
+    kind, text, digest, caption, n_bytes, and the columns of media. Texts and unknown digests have nulls there; sequences
+    without items give no rows. media has one row per digest, see one_each().
 
     A digest that very many items share stays a plain join key: Spark splits such partitions of the item side at run time.
     """
@@ -209,39 +215,41 @@ def resolve(sequenced: DataFrame, media: DataFrame) -> DataFrame:
     return items.join(media, "digest", "left")
 
 
-def measured(resolved: DataFrame) -> DataFrame:
-    """Figures of each resolved media item, from its stored bytes read back."""
+FIGURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def measured(media: DataFrame) -> DataFrame:
+    """Figures of each row of media(digest, media), from its stored bytes read back."""
 
     def start():
         def work(rows):
-            out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")}
-            for doc, n, media, position, caption in zip(*(rows[k] for k in ("doc_id", "n_bytes", "media", "position", "caption")), strict=True):
-                payload = from_png(media)
-                out["doc_id"].append(doc)
-                out["n_bytes"].append(n)
+            out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            for stored in rows["media"]:
+                payload = from_png(stored)
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-ROW_BYTES:]))
-                out["media_bytes"].append(len(media))
-                out["media_sha256"].append(hashlib.sha256(media).hexdigest())
+                out["media_bytes"].append(len(stored))
+                out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
                 out["feature"].append(feature(payload))
-                out["position"].append(position)
-                out["caption"].append(caption)
-            return out
+            return {"digest": rows["digest"]} | out
 
         return work
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, position int, caption string"
-    return map_slices(resolved.where(F.col("media").isNotNull()).select("doc_id", "n_bytes", "media", "position", "caption"), schema, start, 64)
+    return map_slices(media.select("digest", "media"), FIGURES, start)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Stores the texts of documents(doc_id, text, lang, source) as media and measures what each page's reference finds.
+    """Stores the texts of documents(doc_id, text, lang, source) as media, and resolves the reference on each one's page to
+    the figures of the stored bytes.
 
+    Stored bytes are measured where they lie, so payloads are not shuffled; their figures join the references by digest.
     Null and empty texts are 64 zero bytes; repeated rows give repeated rows; other columns are left out; an empty table
     gives no rows.
     """
-    return measured(resolve(sequences(pages_of(docs)), store(docs)))
+    figures = one_each(measured(store(docs)))
+    found = resolve(sequences(pages_of(docs)), figures).where("kind = 'media'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
 def op3_interleaved_media(spark, sf_dir: str) -> DataFrame:
