@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialize
 from ..functions import linalg
 
 #: Values that may be collected once the histograms have narrowed a quantile down.
@@ -54,11 +55,55 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], few: int =
     return out
 
 
+def group_quantiles(df: DataFrame, group: str, value: str, probabilities: list[float], few: int = 1000, bins: int = BINS, most_rounds: int = 80) -> DataFrame:
+    """(group, q): exact quantiles per group as an array, linearly interpolated; groups without values are left out.
+
+    Like quantiles(), but ranges are rows of a table, one per group and sought rank: each round counts the values of a
+    range by bin, with partial counts in every task, and keeps the bin that holds the rank. A range of few values is
+    sorted. So neither a group's values nor its distinct values meet in one task, whatever their number.
+    """
+    col = F.col(value).cast("double")
+    rows = df.where(col.isNotNull() & ~F.isnan(col)).select(F.col(group).alias("g"), col.alias("x"))
+    size = rows.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
+    at = [F.col("n").cast("double") * p - p for p in probabilities]  # p * (n - 1)
+    ranks = F.array_distinct(F.array(*(f(r).cast("long") for r in at for f in (F.floor, F.ceil))))
+    size = materialize(size, "groups")
+    open_ranges = size.select("g", "a", "b", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.explode(ranks).alias("rank"))
+    found = None
+    for _ in range(most_rounds):
+        open_ranges = materialize(open_ranges, "quantile-ranges")
+        settled = open_ranges.where((F.col("a") == F.col("b")) | (F.col("inside") <= few))
+        spans = settled.select("g", "a", "b", "below").distinct()
+        inside = F.col("r.g").eqNullSafe(F.col("s.g")) & F.col("r.x").between(F.col("s.a"), F.col("s.b"))
+        # Values of a settled range, each once with its number: few, or one value that occurs often.
+        values = rows.alias("r").join(spans.alias("s"), inside).groupBy("s.g", "s.a", "s.b", "s.below", "r.x").agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(Window.partitionBy("g", "a", "b").orderBy("x")) + F.col("below")
+        placed = values.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("k"))
+        hit = placed.alias("v").join(settled.alias("t"), F.col("v.g").eqNullSafe(F.col("t.g")) & (F.col("v.a") == F.col("t.a")) & (F.col("v.b") == F.col("t.b")) & (F.col("t.rank") >= F.col("v._from")) & (F.col("t.rank") < F.col("v._to")))
+        done = materialize(hit.select("t.g", "t.rank", "v.x"), "quantile-ranks")
+        found = done if found is None else found.unionByName(done)
+        left = open_ranges.where((F.col("a") != F.col("b")) & (F.col("inside") > few))
+        if left.isEmpty():
+            break
+        wide = left.select("g", "a", "b", "below").distinct()
+        bin_of = F.least(F.floor((F.col("r.x") - F.col("s.a")) / (F.col("s.b") - F.col("s.a")) * bins), F.lit(bins - 1))
+        counts = rows.alias("r").join(wide.alias("s"), inside).groupBy("s.g", "s.a", "s.b", "s.below", bin_of.alias("bin")).agg(F.count("*").alias("k"), F.min("r.x").alias("lo"), F.max("r.x").alias("hi"))
+        to = F.sum("k").over(Window.partitionBy("g", "a", "b").orderBy("bin")) + F.col("below")
+        placed = counts.withColumn("_to", to).withColumn("_from", F.col("_to") - F.col("k"))
+        on = F.col("v.g").eqNullSafe(F.col("t.g")) & (F.col("v.a") == F.col("t.a")) & (F.col("v.b") == F.col("t.b")) & (F.col("t.rank") >= F.col("v._from")) & (F.col("t.rank") < F.col("v._to"))
+        open_ranges = placed.alias("v").join(left.alias("t"), on).select("t.g", F.col("v.lo").alias("a"), F.col("v.hi").alias("b"), F.col("v._from").alias("below"), F.col("v.k").alias("inside"), "t.rank")
+    else:
+        raise RuntimeError(f"quantiles did not settle in {most_rounds} rounds")
+    known = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
+    joined = size.join(known, size["g"].eqNullSafe(known["g"])).select(size["g"].alias(group), "n", "m")
+    lo, hi = ([F.element_at("m", f(r).cast("long")) for r in at] for f in (F.floor, F.ceil))
+    return joined.select(group, F.array(*(x + (y - x) * (r - F.floor(r)) for x, y, r in zip(lo, hi, at, strict=True))).alias("q"))
+
+
 def robust_range(df: DataFrame, value: str, group: str | None = None, k: float = 3.0) -> DataFrame:
     """Least and greatest value within k interquartile ranges of the quartiles: lo, hi, q1, q3, per group if one is named.
 
-    Where the quartiles coincide, or nothing is inside, plain least and greatest. Groups use Spark's exact percentile,
-    which holds a group's distinct values; a whole column goes by histograms.
+    Where the quartiles coincide, or nothing is inside, plain least and greatest.
     """
     col = F.col(value).cast("double")
     if group is None:
@@ -67,8 +112,7 @@ def robust_range(df: DataFrame, value: str, group: str | None = None, k: float =
         rows = df.select(col.alias("x")).join(F.broadcast(fences))
         by = ["q1", "q3"]
     else:
-        q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
-        fences = df.groupBy(group).agg(q.alias("q")).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+        fences = group_quantiles(df, group, value, [0.25, 0.75]).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
         rows = df.select(group, col.alias("x")).join(fences, group)
         by = [group, "q1", "q3"]
     iqr = F.col("q3") - F.col("q1")

@@ -168,6 +168,17 @@ def test_robust(spark):
     assert robust.quantiles(big.limit(0), "v", [0.5]) is None
 
 
+def test_group_quantiles(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.exponential(size=900).round(2), "b": np.r_[np.zeros(500), rng.normal(size=40)], None: np.array([3.0]), "c": np.array([1.0, 2.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("d", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["q"] for r in robust.group_quantiles(df, "g", "v", [0.0, 0.3, 0.5, 0.99], few=20, bins=8).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert np.allclose(got[g], np.quantile(xs, [0, 0.3, 0.5, 0.99]))
+
+
 def test_planes(spark):
     rng = np.random.default_rng(2)
     wall = np.c_[rng.uniform(0, 40, 600), rng.normal(0, 0.1, 600), rng.uniform(0, 20, 600)]
