@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..durable import materialize, shared_dir  # noqa: F401  materialize is for the operators
+
 #: Rows, and bytes of texts, that a Python task turns into Python objects at a time. A longer text goes alone.
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch, where the session does not say. Texts take kilobytes each.
 BATCH_ROWS = 1000
 
-_SHIPPED = "tessera.shipped"
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -44,29 +44,10 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own is made only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later steps start there, also when executors are lost."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slice_ends(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> list[int]:
     """Where slices of a batch end, so that none has more than `rows` rows, or than `size` bytes unless one row has."""
     import numpy as np
