@@ -1,9 +1,11 @@
-"""Tables in the folder that driver and executors share, which cut lineage and outlive lost executors."""
+"""What jobs need on a cluster: tables in the folder that driver and executors share, and this package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per session, so that tasks import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_tasks.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for top, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    z.write(path, os.path.join("tessera", os.path.relpath(path, root)))
+    sc.addPyFile(at)
+    sc._tessera_shipped = True

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..durable import ship
+
 #: Tags that the catalog uses, by number: of the base directory, of the Exif directory, of the GPS directory.
 TAGS = {
     0x010F: "Make", 0x0110: "Model", 0x0132: "DateTime", 0x8769: "ExifOffset", 0x8825: "GPSInfo",
@@ -85,6 +87,7 @@ def exif_tags(images: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"file_path": batch["path"], "tags": [tags_of(bytes(c)) if c is not None else {} for c in batch["content"]]})
 
+    ship(images.sparkSession)
     return images.select("path", "content").mapInPandas(run, "file_path string, tags map<string,string>")
 
 
