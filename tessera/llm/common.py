@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..durable import materialize, shared_dir  # noqa: F401  materialize is for the operators
+from ..durable import materialize, shared_dir, ship  # noqa: F401  materialize is for the operators
 
 #: Rows, and bytes of texts, that a Python task turns into Python objects at a time. A longer text goes alone.
 SLICE_ROWS = 256
@@ -27,23 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per session, so that tasks import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    at = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_tasks.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for top, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(top, name)
-                    z.write(path, os.path.join("tessera", os.path.relpath(path, root)))
-    sc.addPyFile(at)
-    sc._tessera_shipped = True
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
