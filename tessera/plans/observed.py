@@ -84,3 +84,53 @@ def sensor_optional(spark, sf_dir):
 @query("grid_size", "SELECT p_partkey, CAST(ceil(p_retailprice * 3 / 500.0) AS INTEGER) AS cols FROM part")
 def grid_size(spark, sf_dir):
     return I.read(spark, sf_dir, "part").select("p_partkey", text.grid_size(F.col("p_retailprice") * 3).alias("cols"))
+
+
+@query(
+    "canonical_pairs",
+    """SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) AS image_a, greatest(l_partkey, l_suppkey) AS image_b,
+      CASE WHEN l_partkey > l_suppkey THEN l_tax ELSE l_discount END AS kp_a, CASE WHEN l_partkey > l_suppkey THEN l_discount ELSE l_tax END AS kp_b FROM lineitem""",
+)
+def canonical_pairs(spark, sf_dir):
+    from ..operators.pairs import canonical
+
+    line = I.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("image_a"), F.col("l_suppkey").alias("image_b"), F.col("l_discount").alias("kp_a"), F.col("l_tax").alias("kp_b"))
+    return canonical(line, swapped=(("kp_a", "kp_b"),))
+
+
+@query(
+    "match_filter",
+    """WITH k AS (SELECT l_orderkey AS pair_id, l_quantity * 2 AS xa, l_linenumber * 10.0 AS ya, l_quantity * 2 + 5 AS xb, l_linenumber * 10.0 - 5 AS yb, 1 - l_discount * 5 AS c FROM lineitem)
+    SELECT pair_id, CAST(count(*) FILTER (WHERE round(c, 6) >= 0.7 AND xa < 90 AND ya < 60 AND xb < 90 AND yb < 60 AND yb >= 0) AS INTEGER) AS num_matches FROM k GROUP BY 1""",
+)
+def match_filter(spark, sf_dir):
+    from ..operators.gates import match_filter as keep
+
+    q, n = F.col("l_quantity") * 2, F.col("l_linenumber") * 10.0
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rows = I.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.struct(point(q, n).alias("a"), point(q + 5, n - 5).alias("b"), F.round(1 - F.col("l_discount") * 5, 6).alias("c")).alias("m"))
+    matches = rows.groupBy("pair_id").agg(F.collect_list("m").alias("m")).select("pair_id", F.col("m.a").alias("keypoints_a"), F.col("m.b").alias("keypoints_b"), F.col("m.c").alias("confidence"))
+    w, h = F.lit(90), F.lit(60)
+    return keep(matches, 0.7, w, h, w, h).select("pair_id", "num_matches")
+
+
+@query("ts_packets", "SELECT doc_id, CAST(unnest(range(0, strlen(text) // 188)) AS INTEGER) AS packet_no FROM documents WHERE strlen(text) >= 188")
+def ts_packets(spark, sf_dir):
+    """Texts as bundles of packets; tests hold the bytes of packets against slices."""
+    from ..sources.files import ts_packets as split
+
+    bundles = I.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return split(bundles).where(F.octet_length("packet") == 188).select("doc_id", "packet_no")
+
+
+@query(
+    "filler_order",
+    """WITH o AS (SELECT doc_id AS image_id FROM labels WHERE quality = 0), m AS (SELECT doc_id AS image_id FROM labels WHERE toxic = 1), g AS (SELECT doc_id AS image_id FROM documents WHERE doc_id % 3 <> 0),
+    u AS (SELECT image_id, 0 AS k FROM o UNION SELECT image_id, 1 FROM m WHERE image_id IN (FROM g) AND image_id NOT IN (FROM o))
+    SELECT image_id, CAST(row_number() OVER (ORDER BY k, image_id) AS INTEGER) AS filler_no FROM u""",
+)
+def filler_order(spark, sf_dir):
+    from ..operators.coverage import filler_order as order
+
+    labels, ids = I.read(spark, sf_dir, "labels"), F.col("doc_id").alias("image_id")
+    return order(labels.where("quality = 0").select(ids), labels.where("toxic = 1").select(ids), I.read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(ids))

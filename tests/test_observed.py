@@ -76,3 +76,30 @@ def test_messages(spark):
     twice = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 1.0)], "sequence_id long, at_s double")
     assert messages.once(twice, ["sequence_id"], "at_s").count() == 2
     assert files.flat_listing(spark.createDataFrame([("/a/1.jpg",), ("/a/1.jpg",), ("/a/b/2.jpg",), ("/a/3.JPEG",)], "path string"), "/a").count() == 2
+
+
+def test_plane_homography(spark):
+    """Image points of a plane's points go back to their places on the plane."""
+    from tessera.functions import linalg
+
+    rng = np.random.default_rng(5)
+    k = np.array([[800.0, 0, 320], [0, 800, 240], [0, 0, 1]])
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    turn *= np.sign(np.linalg.det(turn))
+    origin, e_u, e_v = rng.normal(size=3), turn[0], turn[1]
+    rotation, translation = np.linalg.qr(rng.normal(size=(3, 3)))[0], np.array([0.1, -0.2, 9.0])
+    u, v = 1.5, -0.7
+    seen = k @ (rotation @ (origin + u * e_u + v * e_v) + translation)
+    col = lambda x: F.array(*(F.lit(float(y)) for y in np.ravel(x)))
+    h = linalg.plane_homography(*(col(x) for x in (k, rotation, translation, origin, e_u, e_v)))
+    at = spark.range(1).select(linalg.apply_homography(h, F.lit(float(seen[0] / seen[2])), F.lit(float(seen[1] / seen[2]))).alias("p")).first()["p"]
+    assert (at["x"], at["y"]) == (pytest.approx(u), pytest.approx(v))
+
+
+def test_unknown_never_rejects(spark):
+    from tessera.operators import gates
+
+    none = F.lit(None).cast("double")
+    for dz, shift in ((none, F.lit(500.0)), (F.lit(9.0), none), (none, none)):
+        r = spark.range(1).select(gates.pose_consistent(dz, shift), gates.floors_consistent(dz, shift, none, none)).first()
+        assert tuple(r) == (True, True)
