@@ -29,13 +29,14 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays. Rows that repeat a doc_id are one
     document, of which one row stays; rows without doc_id stay."""
-    groups = simhash.near_duplicates(docs)
+    groups = common.materialize(simhash.near_duplicates(docs), "near-duplicate-groups")
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti")
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
-    # Only repeated ids are shuffled for it.
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
+    # The texts meet one table of the few ids that something happens to, and are shuffled once for it.
+    touched = common.materialize(others.unionByName(repeated).distinct(), "touched-ids")
+    kept = docs.join(touched, "doc_id", "left_anti").select(docs.columns)
+    once = repeated.join(others, "doc_id", "left_anti")
+    return kept.unionByName(docs.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
