@@ -35,7 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # The texts meet one table of the few ids that something happens to, and are shuffled once for it.
     touched = common.materialize(others.unionByName(repeated).distinct(), "touched-ids")
     kept = docs.join(touched, "doc_id", "left_anti").select(docs.columns)
-    once = repeated.join(others, "doc_id", "left_anti")
+    once = common.materialize(repeated.join(others, "doc_id", "left_anti"), "repeated-ids")
+    if once.isEmpty():
+        return kept
     return kept.unionByName(docs.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
