@@ -243,11 +243,12 @@ def document_media(docs: DataFrame) -> DataFrame:
     """Stores the texts of documents(doc_id, text, lang, source) as media, and resolves the reference on each one's page to
     the figures of the stored bytes.
 
-    Stored bytes are measured where they lie, so payloads are not shuffled; their figures join the references by digest.
+    Stored bytes are measured where they lie, so payloads are not shuffled; their figures, one row per digest, are written
+    down and join the references by digest, a join that Spark can split where very many references share one.
     Null and empty texts are 64 zero bytes; repeated rows give repeated rows; other columns are left out; an empty table
     gives no rows.
     """
-    figures = one_each(measured(store(docs)))
+    figures = materialize(one_each(measured(store(docs))), "media-figures")
     found = resolve(sequences(pages_of(docs)), figures).where("kind = 'media'")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
