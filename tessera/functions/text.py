@@ -108,19 +108,18 @@ def log_line(line: Column) -> Column:
 
 def stage_percent(stage: Column, progress: Column) -> Column:
     """Null for stages that stand nowhere."""
-    out = F.lit(None).cast("double")
-    for name, (start, more) in STAGE_PERCENT.items():
-        out = F.when(stage == name, start + fraction(progress) * more).otherwise(out)
-    return out
+    table = F.create_map(*(F.lit(x) for name, (start, more) in STAGE_PERCENT.items() for x in (name, f"{start},{more}")))
+    place = F.split(F.try_element_at(table, stage), ",")
+    return place[0].cast("double") + fraction(progress) * place[1].cast("double")
 
 
 def transfer_progress(line: Column) -> Column:
     """bytes, percent and MB/s of a transfer's progress line; null for any other line."""
     percent = F.regexp_extract(line, r"^[^%]*?(\d+)%", 1)
-    figures = F.regexp_replace(F.regexp_extract(line, r"^[^0-9]*([0-9][0-9,]*)", 1), ",", "")
-    after = F.regexp_replace(line, r"^[^%]*%", "")
-    value = F.regexp_extract(after, r"([0-9.]+)([A-Za-z]*)/s", 1).try_cast("double")
-    unit = F.regexp_extract(after, r"([0-9.]+)([A-Za-z]*)/s", 2)
+    figures = F.replace(F.regexp_extract(line, r"^[^0-9]*([0-9][0-9,]*)", 1), F.lit(","), F.lit(""))
+    token = F.regexp_extract(line, r"^[^%]*%.*?([0-9.]+[A-Za-z]*)/s", 1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    value, unit = F.translate(token, letters, "").try_cast("double"), F.translate(token, "0123456789.", "")
     rate = F.when(unit == "kB", value / 1024).when(unit == "MB", value).when(unit == "GB", value * 1024).otherwise(value / (1024 * 1024))
     return F.when(percent != "", F.struct(figures.try_cast("long").alias("bytes"), percent.cast("int").alias("percent"), F.coalesce(rate, F.lit(0.0)).alias("rate_mbps")))
 

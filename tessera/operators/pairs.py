@@ -154,7 +154,7 @@ def select_pairs(catalog: DataFrame, k: int = 4, most_m: float = 8.0, view_deg:
     Next neighbours are gated by view alone. cap limits the spatial pairs of an image, see degree_capped(); 0 is no limit.
     """
     place = ("latitude", "longitude", "altitude_m", "yaw_deg")
-    points = enu(catalog)
+    points = materialize(enu(catalog), "points")
     radius = calibrated_radius(points, most_m, multiplier)
     following = _measured(next_neighbours(catalog, k, keep=place), "temporal_neighbor")
     near = radius_pairs(points, radius, keep=place)
