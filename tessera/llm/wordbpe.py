@@ -14,8 +14,8 @@ import numpy as np
 from .common import per_worker
 
 #: Words and word stems that a worker keeps; further ones are encoded each time they occur.
-KEEP_WORDS = 150_000
-KEEP_STEMS = 250_000
+KEEP_WORDS = 300_000
+KEEP_STEMS = 350_000
 
 END_ID = (1).to_bytes(4, "little")
 
@@ -59,7 +59,8 @@ class WordEncoder:
         word = raw.decode()
         low = word.lower()
         core = low.rstrip(".,")
-        if core.isalpha() and max(low) < "ɐ" and "İ" not in word and (low.isascii() or unicodedata.is_normalized("NFC", word)):
+        # Beyond ASCII only composed Latin letters go the short way.
+        if core.isalpha() and (word.isascii() or max(low) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word)):
             tail = low[len(core) :]
             got = self.stem(core) + (self.stem(tail) if tail else b"")
         else:
