@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, langid, packing, quality, secrets, simhash
+from tessera.llm import common, langid, nearcopies, packing, quality, secrets
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +27,9 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays. Rows that repeat a doc_id are one
-    document, of which one row stays; rows without doc_id stay."""
-    groups = common.materialize(simhash.near_duplicates(docs), "near-duplicate-groups")
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
-    # The texts meet one table of the few ids that something happens to, and are shuffled once for it.
-    touched = common.materialize(others.unionByName(repeated).distinct(), "touched-ids")
-    kept = docs.join(touched, "doc_id", "left_anti").select(docs.columns)
-    once = common.materialize(repeated.join(others, "doc_id", "left_anti"), "repeated-ids")
-    if once.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    """Of each group of near duplicates, texts with 0.8 or more of their shingles of five words in common, one row stays:
+    that with the least doc_id, null last. Different texts under one doc_id, or under none, are judged on their own."""
+    return nearcopies.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
