@@ -13,9 +13,11 @@ from tessera.llm import common, langid, nearcopies, packing, quality, secrets
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or unlike any language that their lang column teaches, go. Null texts go with them."""
-    learned = langid.prototypes(docs.where(F.coalesce(common.crc_mod("doc_id", langid.HELD_OUT) != 0, F.lit(True))))
-    return langid.accepted(docs, learned)
+    """Documents without letters, or less like each language that their lang column teaches than its own texts of about
+    the size are, go. Null texts go with them."""
+    rows = docs.where(F.coalesce(common.crc_mod("doc_id", langid.HELD_OUT) != 0, F.lit(True)))
+    learned = langid.prototypes(rows)
+    return langid.accepted(docs, learned, langid.least_cosines(rows, learned))
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,8 +25,14 @@ UNKNOWN = "und"
 #: outweighs the others. Weights are whole numbers of UNITs.
 FULL_TRIGRAMS = 1000
 UNIT = 1024
-#: Below this score a text resembles no known language.
-LEAST_SCORE = 0.5
+#: A text resembles a language if its cosine is at least LEEWAY of the QUANTILE of the cosines of correctly told learned
+#: texts with about as many distinct trigrams (within a power of two). Few trigrams mean low cosines in any language.
+QUANTILE = 0.01
+LEEWAY = 2 / 3
+#: Bits of the least number of distinct trigrams, 32, that is judged: cosines of fewer do not tell languages from gibberish.
+LEAST_BITS = 6
+#: Steps of a cosine in which learned texts are counted.
+STEPS = 1000
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -90,11 +96,16 @@ class Profiles:
 
     def encode(self, texts: list[str]):
         """Text vectors (n, dimensions), exact, and the number of trigrams of each."""
+        return self.encoded(texts)[:2]
+
+    def encoded(self, texts: list[str]):
+        """Text vectors (n, dimensions), exact, and the numbers of trigrams and of distinct trigrams of each."""
         import numpy as np
 
         owner, code = self.trigrams(texts)
         sizes = np.bincount(owner, minlength=len(texts))
         out = np.zeros((len(texts), self.vectors.shape[1]))
+        distinct = np.zeros(len(texts), np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         at = 0
         while at < len(texts):
@@ -110,10 +121,11 @@ class Profiles:
                 column[codes] = np.arange(len(codes))
                 cell = (owner[ends[at] : ends[till]] - at) * len(codes) + column[part]
                 counts = np.bincount(cell, minlength=(till - at) * len(codes)).reshape(till - at, len(codes))
+                distinct[at:till] = np.count_nonzero(counts, axis=1)
                 kind = np.float32 if sizes[at:till].max() < 1 << 24 else np.float64
                 out[at:till] = counts.astype(kind) @ self.of(codes).astype(kind, copy=False)
             at = till
-        return out, sizes
+        return out, sizes, distinct
 
 
 def profiles(dimensions: int, seed: int) -> Profiles:
@@ -184,18 +196,24 @@ class Judge:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores, (1 + cosine) / 2. und, with score 0, where the text is null or has no letter, or nothing
         was learned; ties go to the first language by name."""
+        names, scores, _ = self.sized(texts)
+        return names, scores
+
+    def sized(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Languages, scores, and the bits of the number of distinct trigrams."""
         import numpy as np
 
         if not self.names:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        vectors, sizes = self.profiles.encode([t or "" for t in texts])
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
+        vectors, sizes, distinct = self.profiles.encoded([t or "" for t in texts])
         norms = np.sqrt((vectors**2).sum(axis=1))
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where(norms[:, None] > 0, vectors @ self.known.T / norms[:, None], 0.0).round(9)
         best, told = cosine.argmax(axis=1), sizes > 0
         top = cosine[np.arange(len(best)), best].tolist()
         names = [self.names[b] if t else UNKNOWN for b, t in zip(best, told, strict=True)]
-        return names, [round(min(1.0, max(0.0, (1 + c) / 2)), 6) if t else 0.0 for c, t in zip(top, told, strict=True)]
+        scores = [round(min(1.0, max(0.0, (1 + c) / 2)), 6) if t else 0.0 for c, t in zip(top, told, strict=True)]
+        return names, scores, [int(x).bit_length() for x in distinct]
 
 
 def predict(docs: DataFrame, learned: dict[str, list[int]], dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
@@ -213,14 +231,55 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], dimensions: int = DI
     return map_slices(docs.select("doc_id", "held_out", "text"), PREDICTED, start)
 
 
-def accepted(docs: DataFrame, learned: dict[str, list[int]], least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs(text, ...) whose text resembles a learned language, with the columns of docs."""
+def least_cosines(labelled: DataFrame, learned: dict[str, list[int]]) -> dict[int, float]:
+    """The least cosine that a text needs, by the bits of its number of distinct trigrams, from all rows of labelled(text,
+    lang) that are told correctly. Spark counts them by bits and steps, so a small table reaches the driver."""
+
+    def start():
+        judge = Judge(learned)
+
+        def work(rows):
+            names, scores, bits = judge.sized(rows["text"])
+            right = [i for i, n in enumerate(names) if n == rows["lang"][i]]
+            return {"bits": [bits[i] for i in right], "step": [int((2 * scores[i] - 1) * STEPS // 1) for i in right]}
+
+        return work
+
+    clean = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    counted = map_slices(clean, "bits int, step int", start).groupBy("bits", "step").agg(F.count("*").alias("n")).collect()
+    by_bits: dict[int, list[tuple[int, int]]] = {}
+    for r in counted:
+        by_bits.setdefault(r["bits"], []).append((r["step"], r["n"]))
+    least = {}
+    for bits, steps in by_bits.items():
+        if bits < LEAST_BITS:
+            continue
+        left = QUANTILE * sum(n for _, n in steps)
+        for step, n in sorted(steps):
+            left -= n
+            if left <= 0:
+                break
+        least[bits] = LEEWAY * step / STEPS
+    return least
+
+
+def accepted(docs: DataFrame, learned: dict[str, list[int]], least: dict[int, float]) -> DataFrame:
+    """The rows of docs(text, ...) whose text resembles a learned language, with the columns of docs.
+
+    A number of trigrams that no learned text had takes the least cosine of the next smaller one; texts with fewer
+    than any learned text or than LEAST_BITS allow stay if they have letters.
+    """
 
     def start():
         judge = Judge(learned)
+        need, last = [], -1.0
+        for bits in range(64):
+            last = least.get(bits, last)
+            need.append(last)
 
         def work(rows):
-            keep = [i for i, (lang, score) in enumerate(zip(*judge(rows["text"]), strict=True)) if lang != UNKNOWN and score >= least]
+            names, scores, bits = judge.sized(rows["text"])
+            keep = [i for i, name in enumerate(names) if name != UNKNOWN and 2 * scores[i] - 1 >= need[bits[i]]]
             return {k: [v[i] for i in keep] for k, v in rows.items()}
 
         return work
