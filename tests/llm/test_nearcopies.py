@@ -66,3 +66,12 @@ def test_a_crowd_of_near_copies_leaves_one(spark):
     rows = [(i, " ".join(edited(rng, base, 2))) for i in range(150)] + [(1000 + i, " ".join(words(rng, 200))) for i in range(20)]
     want = sorted(min(g)[1] for g in plain_kept(rows).values())
     assert sorted(d for d, _ in stay(spark, rows)) == want and len(want) == 21
+
+
+def test_rows_decide_not_ids(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 50)) for _ in range(3))
+    got = stay(spark, [(1, a), (7, a), (7, b), (7, c), (None, c), (None, b), (None, b), (7, c)])
+    assert sorted(got) == sorted([(1, a), (7, b), (7, c)])
+    got = stay(spark, [(None, a), (None, a), (None, a.upper()), (None, b)])
+    assert len(got) == 2 and {t.lower() for _, t in got} == {a, b}
