@@ -16,9 +16,6 @@ from ..durable import materialize, shared_dir, ship  # noqa: F401  materialize i
 #: Rows, and bytes of texts, that a Python task turns into Python objects at a time. A longer text goes alone.
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch, where the session does not say. Texts take kilobytes each.
-BATCH_ROWS = 1000
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -46,15 +43,13 @@ def slice_ends(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> lis
     return ends
 
 
-def map_slices(df: DataFrame, schema: str | T.StructType, start: Callable, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def map_slices(df: DataFrame, schema: str | T.StructType, start: Callable, slice_rows: int = SLICE_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Runs `start()` once per task, which returns a function from a slice (dict of lists) to a dict of lists.
 
     The function may have an attribute `finish`, called at the end of the task, that returns a last dict of lists.
     Batches are cut into slices, so that a task holds few Python objects whatever the size of the Arrow batches.
     """
     ship(df.sparkSession)
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
@@ -62,7 +57,7 @@ def map_slices(df: DataFrame, schema: str | T.StructType, start: Callable, slice
         work = start()
         for batch in batches:
             at = 0
-            for end in slice_ends(batch, slice_rows):
+            for end in slice_ends(batch, slice_rows, slice_bytes):
                 out = work(batch.slice(at, end - at).to_pydict())
                 at = end
                 if out and len(next(iter(out.values()))):

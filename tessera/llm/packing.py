@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_slices, materialize, ship
-from .wordbpe import END_ID, encoder
+from .wordbpe import ENCODE_BYTES, ENCODE_ROWS, encoder
 
 CAPACITY = 2048
 #: Pieces that are packed together. Shards are dealt out evenly, so no key decides how large one gets.
@@ -36,23 +37,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         enc = encoder(tokenizer)
 
         def work(rows):
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
-                ids = enc.encode(text) + END_ID
-                n = len(ids) // 4
-                view = memoryview(ids)
-                for at in range(0, n, capacity):
-                    part = view[at * 4 : (at + capacity) * 4]
-                    out["doc_id"].append(doc)
-                    out["start"].append(at)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-                    out["doc_tokens"].append(n)
-            return out
+            ids, ends = enc.encode_many(rows["text"])
+            view, tokens = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.diff(ends)
+            parts = -(-tokens // capacity)
+            doc = np.repeat(np.arange(len(tokens)), parts)
+            at = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+            length = np.minimum(capacity, tokens[doc] - at)
+            begin = (ends[doc] + at) * 4
+            crc = [zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), (begin + length * 4).tolist(), strict=True)]
+            return {"doc_id": [rows["doc_id"][i] for i in doc.tolist()], "start": at, "length": length, "ids_crc32": crc, "doc_tokens": tokens[doc]}
 
         return work
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), PIECE, start)
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), PIECE, start, ENCODE_ROWS, ENCODE_BYTES)
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:

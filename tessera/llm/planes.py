@@ -4,7 +4,7 @@ A file holds the ids of consecutive documents. Ids are cut into blocks of fixed
 (the k-th byte, or the k-th bit, of every id), each plane is compressed with zstandard, and planes that are all zero take
 no bytes. A chunk index at the end says where each plane lies, and a document index says which ids belong to whom.
 
-    magic | planes ... | document ids | token counts | chunk index (JSON, zstandard) | index length (8 bytes) | magic
+    magic | planes ... | document ids | which are null | token counts | chunk index (JSON, zstandard) | length (8 bytes) | magic
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, map_slices, shared_path, ship, slice_ends
-from .wordbpe import END_ID, encoder
+from .common import map_slices, shared_path, ship, slice_ends
+from .wordbpe import ENCODE_BYTES, ENCODE_ROWS, encoder
 
 MAGIC = b"TPLANES1"
 BLOCK_IDS = 65_536
-#: Documents that a file is planned for.
-FILE_DOCS = 8192
+#: Bytes of texts that a file is planned for.
+FILE_BYTES = 16 << 20
 
 MANIFEST = "file_no long, path string, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -72,7 +72,10 @@ class PlaneWriter:
         planes = to_planes(np.frombuffer(raw, "<u4"), self.unit)
         self.chunks.append([len(raw) // 4, [self._put(self.zstd.compress(p.tobytes())) if p.any() else [0, 0] for p in planes]])
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def _table(self, values: list[int], kind: str) -> list[int]:
+        return self._put(self.zstd.compress(np.asarray(values, kind).tobytes()))
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         self.docs.append(doc_id)
         self.counts.append(len(ids) // 4)
         self.held.append(ids)
@@ -89,7 +92,8 @@ class PlaneWriter:
         """Documents, ids and bytes of the file."""
         if self.held_bytes:
             self._block(b"".join(self.held))
-        index = {"unit": self.unit, "chunks": self.chunks, "docs": self._put(self.zstd.compress(np.asarray(self.docs, "<i8").tobytes())), "counts": self._put(self.zstd.compress(np.asarray(self.counts, "<i8").tobytes()))}
+        index = {"unit": self.unit, "chunks": self.chunks, "docs": self._table([d or 0 for d in self.docs], "<i8")}
+        index |= {"nulls": self._table([d is None for d in self.docs], "u1"), "counts": self._table(self.counts, "<i8")}
         _, n = self._put(self.zstd.compress(json.dumps(index).encode()))
         self._put(n.to_bytes(8, "little") + MAGIC)
         return len(self.docs), sum(self.counts), self.at
@@ -113,8 +117,8 @@ class PlaneReader:
         self.source.seek(at)
         return self.source.read(n)
 
-    def table(self, name: str) -> np.ndarray:
-        return np.frombuffer(self.zstd.decompress(self._get(*self.index[name])), "<i8")
+    def table(self, name: str, kind: str = "<i8") -> list[int]:
+        return np.frombuffer(self.zstd.decompress(self._get(*self.index[name])), kind).tolist()
 
     def blocks(self):
         unit = self.index["unit"]
@@ -124,10 +128,10 @@ class PlaneReader:
             yield from_planes(np.stack(rows), n, unit)
 
     def documents(self):
-        """doc_id, first id's place in the file, ids as an iterator of arrays."""
+        """doc_id, first id's place in the file, number of ids, and the ids as a list of arrays."""
         blocks, held = self.blocks(), np.zeros(0, "<u4")
         start = 0
-        for doc, n in zip(self.table("docs").tolist(), self.table("counts").tolist(), strict=True):
+        for doc, null, n in zip(self.table("docs"), self.table("nulls", "u1"), self.table("counts"), strict=True):
             parts, need = [], n
             while need:
                 if not len(held):
@@ -135,39 +139,37 @@ class PlaneReader:
                 parts.append(held[:need])
                 held = held[need:]
                 need -= len(parts[-1])
-            yield doc, start, n, parts
+            yield None if null else doc, start, n, parts
             start += n
 
 
+def qualified(spark, path: str) -> str:
+    """The path as a URI. One without a scheme is on the session's default file system, as it is for Spark."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + "/" + path.lstrip("/")
+
+
 def _filesystem(path: str):
-    """The file system of a path or URI, and the path there."""
+    """The file system of a URI, and the path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+    return fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
 
 
-def in_id_order(docs: DataFrame, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Deals documents to consecutive, even ranges of doc_id, each sorted, and numbers the ranges (file_no).
+def in_id_order(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Deals documents to consecutive ranges of doc_id, one per partition, each sorted; a null doc_id comes first.
 
-    The ranges come from quantiles of doc_id alone, so that the texts are read once; a null doc_id sorts first.
+    Rows with one doc_id are told apart by their texts, and equal rows by their places in the input, so that rows of one id
+    can lie in several ranges. Equal rows have equal ids, so it does not matter which of them is where.
     """
-    from pyspark.ml.feature import Bucketizer
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, math.ceil(size / file_bytes))
+    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id())
+    return keyed.repartitionByRange(files, "doc_id", "_text", "_at").sortWithinPartitions("doc_id", "_text", "_at").drop("_text", "_at")
 
-    spark = docs.sparkSession
-    files = max(1, math.ceil(docs.count() / file_docs))
-    probes = [i / files for i in range(1, files)]
-    edges = docs.agg(F.percentile_approx("doc_id", probes, max(10_000, 50 * files))).first()[0] if probes else []
-    edges = sorted({float(x) for x in edges or []})
-    keyed = docs.withColumn("_as_double", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
-    if edges:
-        split = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_as_double", outputCol="_range").transform(keyed)
-    else:
-        split = keyed.withColumn("_range", F.lit(0.0))
-    split = split.withColumn("file_no", F.col("_range").cast("int")).drop("_as_double", "_range")
-    return split.repartitionById(len(edges) + 1, F.col("file_no")).sortWithinPartitions("doc_id", "text")
-
-
-def write_planes(docs: DataFrame, path: str, unit: str = "byte", tokenizer: str | None = None, file_docs: int = FILE_DOCS) -> DataFrame:
+
+def write_planes(docs: DataFrame, path: str, unit: str = "byte", tokenizer: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes documents(doc_id, text), writes files under path in ascending doc_id order, and returns the manifest.
 
     path must be one that every executor reaches. A retried task writes the same bytes under the same name: a file is
@@ -177,6 +179,7 @@ def write_planes(docs: DataFrame, path: str, unit: str = "byte", tokenizer: str
     schema = T.StructType.fromDDL(MANIFEST)
     arrow = to_arrow_schema(schema)
     spark = docs.sparkSession
+    path = qualified(spark, path)
 
     def run(batches):
         context = TaskContext.get()
@@ -184,25 +187,26 @@ def write_planes(docs: DataFrame, path: str, unit: str = "byte", tokenizer: str
         enc, writer, store = encoder(tokenizer), None, None
         for batch in batches:
             at = 0
-            for end in slice_ends(batch, SLICE_ROWS):
+            for end in slice_ends(batch, ENCODE_ROWS, ENCODE_BYTES):
                 rows = batch.slice(at, end - at).to_pydict()
                 at = end
-                for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
-                    if writer is None:
-                        files, folder = _filesystem(path)
-                        files.create_dir(folder, recursive=True)
-                        name = f"{folder}/ids-{number:07d}.planes"
-                        beside = f"{name}.{context.taskAttemptId()}"
-                        store = files.open_output_stream(beside, compression=None)
-                        writer = PlaneWriter(store, unit)
-                    writer.add(-(2**63) if doc is None else doc, enc.encode(text) + END_ID)
+                if writer is None:
+                    files, folder = _filesystem(path)
+                    files.create_dir(folder, recursive=True)
+                    name = f"{folder}/ids-{number:07d}.planes"
+                    beside = f"{name}.{context.taskAttemptId()}"
+                    store = files.open_output_stream(beside, compression=None)
+                    writer = PlaneWriter(store, unit)
+                ids, ends = enc.encode_many(rows["text"])
+                for i, doc in enumerate(rows["doc_id"]):
+                    writer.add(doc, ids[ends[i] : ends[i + 1]].astype("<u4", copy=False).tobytes())
         if writer is not None:
             docs_n, tokens, size = writer.close()
             store.close()
             files.move(beside, name)
             yield pa.RecordBatch.from_pydict({"file_no": [number], "path": [f"{path}/ids-{number:07d}.planes"], "n_docs": [docs_n], "n_tokens": [tokens], "n_bytes": [size]}, schema=arrow)
 
-    ordered = in_id_order(docs.select(F.col("doc_id").cast("long"), "text"), file_docs)
+    ordered = in_id_order(docs.select(F.col("doc_id").cast("long"), "text"), file_bytes)
     manifest = ordered.select("doc_id", "text").mapInArrow(run, schema)
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(schema).parquet(f"{path}/manifest")
@@ -227,7 +231,7 @@ def read_planes(manifest: DataFrame) -> DataFrame:
                         crc = 0
                         for p in parts:
                             crc = zlib.crc32(np.ascontiguousarray(p, "<u4"), crc)
-                        out["doc_id"].append(None if doc == -(2**63) else doc)
+                        out["doc_id"].append(doc)
                         out["start"].append(base + at)
                         out["n_tokens"].append(n)
                         out["ids_crc32"].append(crc)
