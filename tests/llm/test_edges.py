@@ -201,7 +201,7 @@ def test_fill_is_closest(seed):
 
 
 def test_plane_edges(spark, odd, tmp_path):
-    got = planes.read_planes(planes.write_planes(odd, f"file://{tmp_path}/a", "bit", file_docs=3)).orderBy("start").collect()
+    got = planes.read_planes(planes.write_planes(odd, f"file://{tmp_path}/a", "bit", file_bytes=50_000)).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 1, 2, 3, 3, 4, 5, 6, 7, 8]
     at = 0
     for r in got:
@@ -300,15 +300,67 @@ def test_byte_bpe_edges(spark, odd):
     assert bytebpe.encode_documents(empty(odd)).count() == 0
 
 
+def digests(c, text):
+    """What the library and plain decoding give."""
+    ids = c.encoding.encode_ordinary(text)
+    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+SEAMS = ["\n\nWord", "\n\n9", "\t\tx", " \t\n y", "\u00a0\u00a0w", "  'll", "'ll", "x'", "don't", " " * 40 + "z", "\n" * 30, "\x1c\x1cq", "\u3000\u3000漢", "!!\n\n!!", " 12 34", "é\u0301a"]
+
+
+@pytest.mark.parametrize("seam", SEAMS)
+def test_byte_bpe_seams(seam):
+    """A seam at every place around the edges of chunks gives the library's ids."""
+    c = bytebpe.Codec()
+    rng = random.Random(7)
+    filler = "".join(rng.choice(["ab ", "cde", "f.", " gh", "7"]) for _ in range(100))
+    for fill in (filler, "a" * 300, "日本" * 150, ". " * 150):
+        for at in range(20, 140):
+            text = fill[:at] + seam + fill[at:230]
+            met, _, _ = c.stitches(text, 48, 24)
+            assert c.encode(text, met) == c.encoding.encode_ordinary(text), (seam, at)
+    assert len(c.stitches(filler[:230], 48, 24)[0]) == 4
+
+
+def test_byte_bpe_seams_between_shares(spark):
+    """The same seams at the edges of shares, which different tasks do."""
+    c = bytebpe.Codec()
+    rng = random.Random(8)
+    filler = "".join(rng.choice(["ab ", "cde", "f.", " gh", "7"]) for _ in range(200))
+    texts = [filler[:at] + seam + filler[at:400] for seam in SEAMS for at in range(60, 150, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in bytebpe.encode_documents(docs, chunk=48, overlap=24, share=96).collect()}
+    assert got == {i: digests(c, t) for i, t in enumerate(texts)}
+
+
+def test_byte_bpe_takes_linear_time():
+    """Four times the text takes about four times as long."""
+    import time
+
+    c = bytebpe.Codec()
+    rng = random.Random(9)
+    text = "".join(rng.choice(["word ", "other ", "thing.\n", "12 "]) for _ in range(400_000))
+    took = []
+    for n in (len(text) // 4, len(text)):
+        began = time.process_time()
+        met, _, _ = c.stitches(text[:n], bytebpe.CHUNK, bytebpe.OVERLAP)
+        took.append(time.process_time() - began)
+        assert len(met) == -(-n // bytebpe.CHUNK) - 1
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_byte_bpe_stitches(spark):
     """Small chunks over awkward texts give what one piece gives: long runs, spaces, marks, many scripts."""
     rng = random.Random(2)
     bits = ["word ", "don't ", "  ", "\n\n", "x" * 90, " " * 80, "né ", "漢字", "😀", "12345", "!!!", "'ll", "\t", " ", " 'd"]
     rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 120)))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {r["doc_id"]: tuple(r) for r in bytebpe.encode_documents(docs, chunk=1_000_000).collect()}
-    got = {r["doc_id"]: tuple(r) for r in bytebpe.encode_documents(docs, chunk=64, overlap=32).collect()}
-    assert got == want
+    c = bytebpe.Codec()
+    want = {i: (i, *digests(c, text)) for i, text in rows}
+    for share in (64, 256, 1_000_000 // 64 * 64):
+        got = {r["doc_id"]: tuple(r) for r in bytebpe.encode_documents(docs, chunk=64, overlap=32, share=share).collect()}
+        assert got == want, share
     for i, text in rows:
         assert want[i][3] == hashlib.sha256(text.encode()).hexdigest()
 
@@ -317,8 +369,37 @@ def test_word_bpe_is_the_library():
     """Words on the short ways have the ids of the library's whole encode()."""
     enc = wordbpe.WordEncoder()
     texts = ["The Éan, été... don't ΣΑΣ İstanbul naïve café\x0bq a\x1cb x\x85y  z", "é Ångström ﬁ ﷺ ß ẞ ŉ ª 1st 2nd <|endoftext|> a<|startoftext|>b", "ALL CAPS. mixed,Case.. .,. ., ,,, a.b", "漢字 かな 😀 ​ zero", ""]
-    for text in texts:
-        assert enc.encode(text) == enc.whole(text), text
+    rng = random.Random(4)
+    for letters in ("etaoinshrdlu'st", "ABCdef.,!?'s'll-_=0123456789", "".join(map(chr, range(33, 127))) + "\0\x01\x1c\x1f", "éèñüßÄŁłœŒİıſµ²½ªº¼·×÷\xad\u0300Ωжשक中a.", "<|endoftext|>"):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) for _ in range(3000)]
+    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, ends = enc.encode_many(texts)
+    for i, text in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == [*want[i], 1], text
+    assert enc.encode(texts[0]) == np.asarray(want[0], "<u4").tobytes() and enc.encode_many([])[1].tolist() == [0]
+    assert "".join(wordbpe.portions("ab cd\tefgh i", 3)) == "ab cd\tefgh i" and wordbpe.portions("abcdefgh", 3) == ["abcdefgh"]
+
+
+def test_word_bpe_rules_hold_for_every_token():
+    """The table for tiktoken holds each token that the library makes, and both cut the tokens' own strings alike."""
+    enc = wordbpe.WordEncoder()
+    letter = {c: b for b, c in enumerate(wordbpe.byte_letters())}
+    tokens = [t.removesuffix("</w>") for t in enc.tokenizer.get_vocab(with_added_tokens=False)]
+    words = [w for t in tokens if (w := bytes(letter[c] for c in t).decode(errors="ignore")) and not any(c.isspace() for c in w)]
+    want = [x.ids for x in enc.tokenizer.encode_batch(words, add_special_tokens=False)]
+    ids, ends = enc.encode_many(words)
+    assert all(ids[ends[i] : ends[i + 1] - 1].tolist() == w for i, w in enumerate(want))
+
+
+def test_plane_rows_without_distinct_ids(spark, tmp_path):
+    """Rows of one id, and rows without one, may lie in several files; the least long is an id like others."""
+    docs = documents(spark, [(7, f"some text {i % 5} " * 20, "en") for i in range(60)] + [(None, "x y", "en")] * 20 + [(-(2**63), "low", "en")])
+    path = f"file://{tmp_path}/c"
+    manifest = planes.write_planes(docs, path, "byte", file_bytes=2000)
+    assert manifest.count() > 3
+    got = planes.read_planes(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 20 + [-(2**63)] + [7] * 60
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(81)]
 
 
 def turns(*pairs):
