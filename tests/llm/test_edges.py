@@ -427,12 +427,38 @@ def test_preference_edges(spark):
     assert preference.format_pairs(df.limit(0)).count() == 0
 
 
-def test_swapped_replies_edges(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (1, 0, "assistant", None), (2, 0, "assistant", "alone"), (4, 0, "user", "x"), (5, 0, "assistant", "y"), (None, 0, "user", "z")]
+def test_parted_pairs_edges(spark):
+    rows = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"),
+        (1, 0, "assistant", None), (1, 1, "user", "then"), (1, 2, "assistant", "b"), (1, 3, "assistant", "c"), (2, 0, "user", "no reply"),
+        (7, 0, "assistant", "y"), (7, 1, "assistant", "z"), (None, 0, "assistant", "z"),
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: (r["other_id"], [t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in preference.swapped_replies(df).collect()}
-    assert got == {0: (1, ["q", "a0", "a0"], ["q", "a0", None]), 1: (0, [None], ["a0"])}
-    assert preference.swapped_replies(df.limit(0)).count() == 0
+    got = {r["conv_id"]: (r["other_id"], [t["text"] for t in r["chosen"]], [t["text"] for t in r["rejected"]]) for r in preference.parted_pairs(df).collect()}
+    # Replies at which they part: of 0 the first of two, of 1 the second of three, of 7 the second of two.
+    assert got == {
+        0: (1, ["q", "a0", "a0", "more"], ["q", "b", "c"]),
+        1: (7, [None, "then", "b", "c"], [None, "then", "z"]),
+        7: (0, ["y", "z"], ["y", "a0", "a0", "more"]),
+    }
+    alone = preference.parted_pairs(df.where("conv_id = 0"))
+    assert alone.count() == 1 and preference.format_pairs(alone).count() == 0
+    assert preference.parted_pairs(df.limit(0)).count() == 0
+
+
+def test_masks_of_long_conversations(spark):
+    """Conversations longer than a fold's block have the spans that plain counting gives."""
+    rng = random.Random(11)
+    talks = [[(rng.choice(["assistant", "user", None]), "x" * rng.randrange(5)) for _ in range(n)] for n in (0, 1, 255, 256, 257, 700)]
+    df = spark.createDataFrame([(i, turns(*t)) for i, t in enumerate(talks)], "i int, turns array<struct<role:string,text:string>>")
+    for i, got in df.select("i", preference.mask(F.col("turns"))).collect():
+        at, want = 0, []
+        for role, text in talks[i]:
+            size = len(f"<|{role or 'unknown'}|>\n{text}\n<|end|>\n")
+            if role == "assistant":
+                want.append(f"{at + len('<|assistant|>') + 1}:{at + size}")
+            at += size
+        assert got == ",".join(want)
 
 
 def test_slices_are_bounded():
