@@ -5,10 +5,12 @@ Edges are rows (a, b) of node ids; loops are driven from here, with each round's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import materialize
+from ..durable import materialize, release, ship
 from ..functions import linalg
 
 
@@ -42,7 +44,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+        before, now = now, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+        release(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -62,16 +65,18 @@ def reference(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def levels(edges: DataFrame, start: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 10_000) -> DataFrame:
     """(node, level, parent) of the nodes reachable from start(node), breadth first; the parent is the least node of the
-    level before. Each round joins the frontier alone."""
+    level before. Each round joins the frontier alone: edges go both ways, so what it meets is in its own level, in the one
+    before or new."""
     sym = materialize(both_ways(edges, a, b), "edges")
-    seen = materialize(start.select("node", F.lit(0).alias("level"), F.lit(None).cast(start.schema["node"].dataType).alias("parent")), "levels")
-    frontier = seen
+    frontier = materialize(start.select("node", F.lit(0).alias("level"), F.lit(None).cast(start.schema["node"].dataType).alias("parent")), "levels")
+    found, near = [frontier], frontier.select("node")
     for depth in range(1, most_rounds):
         ahead = frontier.select(F.col("node").alias("u")).join(sym, "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        frontier = materialize(ahead.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("level"), "parent"), "frontier")
+        frontier = materialize(ahead.join(near, "node", "left_anti").select("node", F.lit(depth).alias("level"), "parent"), "frontier")
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+            return reduce(DataFrame.unionByName, found)
+        near = found[-1].select("node").unionByName(frontier.select("node"))
+        found.append(frontier)
     raise RuntimeError(f"more than {most_rounds} levels")
 
 
@@ -131,71 +136,160 @@ def merge_points(points: DataFrame, radius: float, group: str, key: str = "idx",
     return named.groupBy(group, "root").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("support"))
 
 
-def refine(edges: DataFrame, homographies: DataFrame, sizes: DataFrame, root, huber_px: float = 10.0, rounds: int = 20) -> DataFrame:
-    """One facade's homographies after a robust least-squares fit of all edges' corner disagreements, the root held fixed.
+#: Rows that refine() gathers for a facade: its edges, and its images' homographies and sizes.
+EDGE = "facade string, image_a string, image_b string, homography array<double>"
+PLACE = "facade string, node string, to_reference array<double>, width double, height double, root boolean"
+REFINED = "facade string, node string, to_reference array<double>"
+
+
+def refine(edges: DataFrame, places: DataFrame, huber_px: float = 2.0, rounds: int = 100) -> DataFrame:
+    """Each facade's homographies after a robust least-squares fit of all its edges' corner disagreements, its root held fixed.
 
-    Weights by Huber's function are renewed in each Gauss-Newton round; one facade's edges fit a task, and facades run in
-    parallel if called through applyInPandas with fit_homographies().
+    edges(facade, image_a, image_b, homography), places(facade, node, to_reference, width, height, root). The edges of a
+    facade, a few thousand rows, are gathered in one task; facades run in parallel. Images without edges stay as they are.
     """
-    edges_rows = [(r["image_a"], r["image_b"], r["homography"]) for r in edges.select("image_a", "image_b", "homography").collect()]
-    start = {r["node"]: r["to_reference"] for r in homographies.collect()}
-    extent = {r["node"]: (r["width"], r["height"]) for r in sizes.collect()}
-    fitted = fit_homographies(edges_rows, start, extent, root, huber_px, rounds)
-    return homographies.sparkSession.createDataFrame([(n, [float(v) for v in h]) for n, h in fitted.items()], homographies.select("node", "to_reference").schema)
+    import pandas as pd
+
+    def run(key, near: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        start = dict(zip(at["node"], at["to_reference"], strict=True))
+        extent = {n: (w, h) for n, w, h in zip(at["node"], at["width"], at["height"], strict=True) if w == w and h == h}
+        roots = set(at.loc[at["root"].fillna(False).astype(bool), "node"])
+        pairs = list(zip(near["image_a"], near["image_b"], near["homography"], strict=True))
+        done = fit_homographies(pairs, start, extent, roots, huber_px, rounds)
+        return pd.DataFrame({"facade": key[0], "node": list(done), "to_reference": [v.tolist() for v in done.values()]})
+
+    ship(edges.sparkSession)
+    typed = [df.select(*(F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in ddl.split(", ")))) for df, ddl in ((edges, EDGE), (places, PLACE))]
+    return typed[0].groupBy("facade").cogroup(typed[1].groupBy("facade")).applyInPandas(run, REFINED)
+
 
+def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds: int = 100):
+    """The numeric part of refine(): nine numbers by node.
 
-def fit_homographies(edges, start, extent, root, huber_px: float = 10.0, rounds: int = 20):
-    """The numeric part of refine(): dictionaries of nine numbers by node."""
+    Huber's loss is minimised first; from there, and from the start, a loss in which edges that are far off count ever less;
+    the best end is taken. An edge's residuals are, in the frame of its second image and in pixels, where the two homographies to the root carry the
+    corners of its first image against where its own homography does. There an image can't lessen them by shrinking. Weights
+    are renewed in each damped Gauss-Newton round. The normal equations are kept as blocks of eight, one
+    per node and one per edge, and solved by conjugate gradients.
+    """
     import numpy as np
 
-    names = sorted(n for n in start if n != root)
-    place = {n: i * 8 for i, n in enumerate(names)}
-    h = {n: np.array(v, float).reshape(3, 3) / v[8] for n, v in start.items()}
-    used = [(a, b, np.array(m, float).reshape(3, 3)) for a, b, m in edges if a in h and b in h and a in extent]
-    if not names or not used:
+    h = {n: np.array(v, float).reshape(3, 3) / v[8] for n, v in start.items() if v is not None}
+    used = [(a, b, np.array(m, float).reshape(3, 3)) for a, b, m in edges if a in h and b in h and a in extent and m is not None]
+    free = sorted({n for a, b, _ in used for n in (a, b)} - set(roots))
+    if not free:
         return {n: m.reshape(-1) for n, m in h.items()}
-
-    def project(m, pts):
-        q = np.c_[pts, np.ones(len(pts))] @ m.T
-        return q[:, :2] / q[:, 2:]
+    names = free + sorted({n for a, b, _ in used for n in (a, b)} & set(roots))
+    place = {n: i for i, n in enumerate(names)}
+    u, v = (np.array([place[e[i]] for e in used]) for i in (0, 1))
+    size = np.array([extent[a] for a, _, _ in used], float)
+    corners = np.ones((len(used), 4, 3))
+    corners[:, :, 0], corners[:, :, 1] = size[:, :1] * [0, 1, 1, 0], size[:, 1:] * [0, 0, 1, 1]
+    flat = lambda q: q[..., :2] / q[..., 2:]
+    direct = flat(corners @ np.stack([m for *_, m in used]).transpose(0, 2, 1))
+
+    def carried(state):
+        back = np.linalg.inv(state)[v]
+        return back, corners @ (back @ state[u]).transpose(0, 2, 1)
 
     def residuals(state):
-        out = []
-        for a, b, m in used:
-            w, t = extent[a]
-            pts = np.array([[0, 0], [w, 0], [w, t], [0, t]], float)
-            out.append(project(state[a], pts) - project(state[b], project(m, pts)))
-        return np.concatenate(out).reshape(-1)
-
-    def moved(step):
-        out = dict(h)
-        for n in names:
-            v = np.append(h[n].reshape(-1)[:8] + step[place[n] : place[n] + 8], 1.0)
-            out[n] = v.reshape(3, 3)
+        return flat(carried(state)[1]) - direct
+
+    def slopes(state):
+        """By the eight parameters of the first image and of the second: (edge, corner and axis, parameter)."""
+        back, p = carried(state)
+        at = flat(p)
+        # How a change of the carried point, a column of back times one coordinate, moves its two pixel coordinates.
+        moved = (back[:, None, :2, :] - at[..., None] * back[:, None, 2:, :]) / p[..., 2, None, None]
+        both = [(sign * moved[..., None] * c[:, :, None, None, :]).reshape(len(used), 8, 9)[..., :8] for sign, c in ((1, corners), (-1, p))]
+        return both
+
+    def huber(r):
+        """Loss and weights, residual by residual."""
+        size = np.abs(r)
+        return np.where(size <= huber_px, size**2 / 2, huber_px * (size - huber_px / 2)).sum(), huber_px / np.maximum(size, huber_px)
+
+    def redescending(scale):
+        """Geman and McClure's loss, edge by edge, and its weights: an edge that is far off hardly counts."""
+
+        def of(r):
+            square = (r**2).mean(axis=1, keepdims=True)
+            share = scale**2 / (scale**2 + square)
+            return 4 * (share * square).sum(), np.broadcast_to(share**2, r.shape)
+
+        return of
+
+    def descend(state, measure):
+        now = residuals(state).reshape(len(used), 8)
+        (best, weight), damping = measure(now), 1e-3
+        for _ in range(rounds):
+            ju, jv = slopes(state)
+            wu, wv = ju * weight[..., None], jv * weight[..., None]
+            diagonal, right = np.zeros((len(names), 8, 8)), np.zeros((len(names), 8))
+            for to, j, w in ((u, ju, wu), (v, jv, wv)):
+                np.add.at(diagonal, to, j.transpose(0, 2, 1) @ w)
+                np.add.at(right, to, -(w * now[..., None]).sum(axis=1))
+            step = _solved(diagonal, ju.transpose(0, 2, 1) @ wv, u, v, right, len(free), damping)
+            trial = state.copy()
+            trial[: len(free)] += np.concatenate([step[: len(free)], np.zeros((len(free), 1))], axis=1).reshape(len(free), 3, 3)
+            with np.errstate(all="ignore"):
+                after = residuals(trial).reshape(len(used), 8)
+                loss, weight_after = measure(after)
+            if np.isfinite(after).all() and loss < best:
+                gain = best - loss
+                state, now, best, weight, damping = trial, after, loss, weight_after, max(damping / 5, 1e-12)
+                if gain < 1e-9 * (1 + best):
+                    break
+            else:
+                damping *= 10
+                if damping > 1e9:
+                    break
+        return state, best
+
+    begun = np.stack([h[n] for n in names])
+    ends = []
+    for state, scales in ((begun, (4,)), (begun, (64, 16, 4)), (descend(begun, huber)[0], (64, 16, 4))):
+        for scale in scales:
+            state, best = descend(state, redescending(scale * huber_px))
+        ends.append((best, state))
+    # Where edges leave it open which of them is wrong, the start decides.
+    least = min(best for best, _ in ends)
+    state = next(state for best, state in ends if best <= 1.05 * least + 1e-9)
+    return {n: m.reshape(-1) for n, m in h.items()} | {n: state[place[n]].reshape(-1) for n in free}
+
+
+def _solved(diagonal, across, u, v, right, n_free: int, damping: float):
+    """The step of damped block equations by conjugate gradients, preconditioned by the diagonal blocks; fixed nodes rest."""
+    import numpy as np
+
+    size = np.sqrt(np.maximum(np.einsum("nii->ni", diagonal), 1e-300))
+    scaled = diagonal / size[:, :, None] / size[:, None, :] + damping * np.eye(8)
+    off = across / size[u][:, :, None] / size[v][:, None, :]
+    inverse = np.linalg.pinv(scaled[:n_free], hermitian=True)
+    free = (np.arange(len(right)) < n_free)[:, None]
+
+    def times(x):
+        out = np.einsum("nij,nj->ni", scaled, x)
+        np.add.at(out, u, np.einsum("eij,ej->ei", off, x[v]))
+        np.add.at(out, v, np.einsum("eji,ej->ei", off, x[u]))
+        return out * free
+
+    def conditioned(x):
+        out = np.zeros_like(x)
+        out[:n_free] = np.einsum("nij,nj->ni", inverse, x[:n_free])
         return out
 
-    damping, size = 1e-3, 8 * len(names)
-    base = residuals(h)
-    for _ in range(rounds):
-        jac = np.zeros((len(base), size))
-        for k in range(size):
-            step = np.zeros(size)
-            n, j = names[k // 8], k % 8
-            step[k] = 1e-6 * max(1.0, abs(h[n].reshape(-1)[j]))
-            jac[:, k] = (residuals(moved(step)) - base) / step[k]
-        weight = np.where(np.abs(base) <= huber_px, 1.0, huber_px / np.maximum(np.abs(base), 1e-12))
-        normal = jac.T @ (jac * weight[:, None])
-        step = np.linalg.lstsq(normal + damping * np.diag(np.maximum(np.diag(normal), 1e-12)), -jac.T @ (weight * base), rcond=None)[0]
-        trial = moved(step)
-        after = residuals(trial)
-        loss = lambda r: np.where(np.abs(r) <= huber_px, r**2 / 2, huber_px * (np.abs(r) - huber_px / 2)).sum()
-        if loss(after) < loss(base):
-            gain = loss(base) - loss(after)
-            h, base, damping = trial, after, damping / 3
-            if gain < 1e-9 * (1 + loss(after)):
-                break
-        else:
-            damping *= 10
-            if damping > 1e9:
-                break
-    return {n: m.reshape(-1) for n, m in h.items()}
+    x, r = np.zeros_like(right), right / size * free
+    z = conditioned(r)
+    p, rz = z, (r * z).sum()
+    first = rz
+    for _ in range(16 * n_free + 50):
+        if rz <= 1e-20 * first or rz == 0:
+            break
+        q = times(p)
+        alpha = rz / (p * q).sum()
+        x, r = x + alpha * p, r - alpha * q
+        z = conditioned(r)
+        rz, before = (r * z).sum(), rz
+        p = z + rz / before * p
+    return x / size
