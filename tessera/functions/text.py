@@ -115,13 +115,15 @@ def stage_percent(stage: Column, progress: Column) -> Column:
 
 def transfer_progress(line: Column) -> Column:
     """bytes, percent and MB/s of a transfer's progress line; null for any other line."""
-    percent = F.regexp_extract(line, r"^[^%]*?(\d+)%", 1)
-    figures = F.replace(F.regexp_extract(line, r"^[^0-9]*([0-9][0-9,]*)", 1), F.lit(","), F.lit(""))
-    token = F.regexp_extract(line, r"^[^%]*%.*?([0-9.]+[A-Za-z]*)/s", 1)
+    # One expression takes all three; lines that it does not fit stay as they are, without the mark in front.
+    shape = r"^(?=[^0-9]*([0-9][0-9,]*))[^%]*?(\d+)%(?:.*?([0-9.]+[A-Za-z]*)/s)?.*$"
+    parts = F.split(F.regexp_replace(line, shape, "\u0001|$1|$2|$3"), r"\|")
+    fits = line.contains("%") & (parts[0] == "\u0001")
+    figures, percent, token = F.replace(parts[1], F.lit(","), F.lit("")), parts[2], parts[3]
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     value, unit = F.translate(token, letters, "").try_cast("double"), F.translate(token, "0123456789.", "")
     rate = F.when(unit == "kB", value / 1024).when(unit == "MB", value).when(unit == "GB", value * 1024).otherwise(value / (1024 * 1024))
-    return F.when(percent != "", F.struct(figures.try_cast("long").alias("bytes"), percent.cast("int").alias("percent"), F.coalesce(rate, F.lit(0.0)).alias("rate_mbps")))
+    return F.when(fits, F.struct(figures.try_cast("long").alias("bytes"), percent.cast("int").alias("percent"), F.coalesce(rate, F.lit(0.0)).alias("rate_mbps")))
 
 
 def lines(text: Column) -> Column:
@@ -140,17 +142,6 @@ def requirement_counts(directions: Column, counts: Column) -> Column:
     return F.when(F.size(numbers) == F.size(csv_items(directions)), numbers).otherwise(F.array().cast("array<bigint>"))
 
 
-def xmp_attributes(text: Column) -> Column:
-    """Attributes of the Description elements of the first XMP packet, by local name; the last of a name wins; {} if none."""
-    packet = F.regexp_extract(text, r"(?s)(<x:xmpmeta.*?</x:xmpmeta>)", 1)
-    elements = F.array_join(F.regexp_extract_all(packet, F.lit(r"(?s)<(?:[\w.-]+:)?[\w.-]*Description\b([^>]*)>"), 1), " ")
-    pair = r"(?s)(?:[\w.-]+:)?([\w.-]+)\s*=\s*[\"']([^\"']*)[\"']"
-    names, values = F.regexp_extract_all(elements, F.lit(pair), 1), F.regexp_extract_all(elements, F.lit(pair), 2)
-    entries = F.arrays_zip(names.alias("key"), values.alias("value"))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == e["key"]))
-    return F.map_from_entries(last)
-
-
 def grid_size(extent_px: Column, px_per_m: float = 100.0, spacing_m: float = 5.0) -> Column:
     """How many cells of a labelled grid an extent takes."""
     return F.ceil(extent_px / (px_per_m * spacing_m)).cast("int")

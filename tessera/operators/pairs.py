@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..durable import materialize
 from ..functions import geo
+from . import robust
 from .numbering import numbered
 
 XYZ = ("x", "y", "z")
@@ -63,9 +64,9 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "image_id", dims:
     """
     import itertools
 
-    if radius <= 0:
-        raise ValueError("the radius has to be positive")
-    base = points.select(F.struct(key, *dims, *keep).alias("row"), *within, *(_cell(d, radius).alias(f"_c{i}") for i, d in enumerate(dims)))
+    if radius < 0:
+        raise ValueError("the radius has to be at least zero")
+    base = points.select(F.struct(key, *dims, *keep).alias("row"), *within, *(_cell(d, radius or 1.0).alias(f"_c{i}") for i, d in enumerate(dims)))
     cells = [f"_c{i}" for i in range(len(dims))]
     half = [s for s in itertools.product((-1, 0, 1), repeat=len(dims)) if s >= (0,) * len(dims)]
     steps = F.array(*(F.array(*(F.lit(x) for x in s)) for s in half))
@@ -78,40 +79,55 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "image_id", dims:
     return near.where(F.col("distance") <= radius).select(*within, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "distance")
 
 
+#: Places in a cell that nearest_distance() begins with, at most.
+CELL_PLACES = 32
+
+
 def nearest_distance(points: DataFrame, start: float, key: str = "image_id", dims: tuple[str, ...] = XYZ) -> DataFrame:
     """(key, nn): the distance of each row's nearest other row; null for a lone row.
 
-    Rows look within one cell around them, beginning with cells of width start; those that find nobody within that width
-    look again in cells twice as wide, until all are settled.
+    Rows in one place are zero apart. Other places look within one cell around them, beginning with cells of width start, or
+    narrower ones that hold few places each; those that find nobody within that width look again in cells twice as wide.
     """
     import itertools
 
+    where = F.struct(*dims)
     rows = points.select(key, *dims)
-    extent = rows.agg(*(F.max(d) - F.min(d) for d in dims), F.count("*")).first()
+    grouped = rows.groupBy(*dims).agg(F.count("*").alias("_rows"))
+    places = materialize(grouped, "places")
+    extent = places.agg(*(F.max(d) - F.min(d) for d in dims), F.count("*")).first()
+    same = F.when(F.col("_rows") > 1, F.lit(0.0))
     if extent[-1] < 2:
-        return rows.select(key, F.lit(None).cast("double").alias("nn"))
+        return rows.join(places.select(*dims, same.alias("nn")), list(dims), "left").select(key, "nn")
+    size = start
+    while size > start / 2**20:
+        cells = [_cell(d, size).alias(f"_c{i}") for i, d in enumerate(dims)]
+        most = places.groupBy(*cells).count().agg(F.max("count")).first()[0]
+        if most <= CELL_PLACES:
+            break
+        size /= max(2.0, (most / CELL_PLACES) ** (1 / len(dims)))
     widest = max(start, *(x or 0.0 for x in extent[:-1])) * len(dims) ** 0.5 + start
     steps = F.array(*(F.array(*(F.lit(x) for x in s)) for s in itertools.product((-1, 0, 1), repeat=len(dims))))
-    open_rows, done, size = rows, None, start
+    open_places, done = places.where("_rows = 1"), places.where("_rows > 1").select(*dims, F.lit(0.0).alias("nn"))
     while True:
         cells = [f"_c{i}" for i in range(len(dims))]
-        base = rows.select(F.struct(key, *dims).alias("b"), *(_cell(d, size).alias(c) for d, c in zip(dims, cells, strict=True)))
-        ask = open_rows.select(F.struct(key, *dims).alias("a"), F.explode(steps).alias("_s"))
+        base = places.select(where.alias("b"), *(_cell(d, size).alias(c) for d, c in zip(dims, cells, strict=True)))
+        ask = open_places.select(where.alias("a"), F.explode(steps).alias("_s"))
         ask = ask.select("a", *((F.floor(F.col(f"a.{d}") / size).cast("long") + F.col("_s")[i]).alias(c) for i, (d, c) in enumerate(zip(dims, cells, strict=True))))
-        met = ask.join(base, cells).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
-        found = met.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min(_distance("a", "b", dims)).alias("nn")).where(F.col("nn") <= size)
-        found = materialize(found, "nearest")
-        done = found if done is None else done.unionByName(found)
-        open_rows = materialize(open_rows.join(found, key, "left_anti"), "unsettled")
-        if size > widest or open_rows.isEmpty():
-            return done
+        met = ask.join(base, cells).where(F.col("a") != F.col("b"))
+        found = met.groupBy("a").agg(F.min(_distance("a", "b", dims)).alias("nn")).where(F.col("nn") <= size)
+        found = materialize(found.select("a.*", "nn"), "nearest")
+        done = done.unionByName(found)
+        open_places = materialize(open_places.join(found, list(dims), "left_anti"), "unsettled")
+        if size > widest or open_places.isEmpty():
+            return rows.join(done, list(dims)).select(key, "nn")
         size *= 2
 
 
 def calibrated_radius(points: DataFrame, most: float, multiplier: float = 3.0, key: str = "image_id") -> float:
     """multiplier times the 90th percentile of the distances to the nearest neighbour, at most `most`."""
-    p90 = nearest_distance(points, most, key).agg(F.percentile("nn", F.lit(0.9))).first()[0]
-    return most if p90 is None else min(p90 * multiplier, most)
+    p90 = robust.quantiles(nearest_distance(points, most, key), "nn", [0.9])
+    return most if p90 is None else min(p90[0] * multiplier, most)
 
 
 def gate(pairs: DataFrame, radius: float, view: float) -> DataFrame:
@@ -186,10 +202,11 @@ def degree_capped(pairs: DataFrame, cap: int, group: str | None = None, by: str
     ordered = named.repartition("_group").sortWithinPartitions("_group", by, "image_a", "image_b")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, counts = None, {}
+        group, counts = object(), {}
         for batch in batches:
             stay = []
             for g, a, b in zip(batch["_group"], batch["image_a"], batch["image_b"], strict=True):
+                g = g if g == g else None  # pandas has NaN for a null number
                 if g != group:
                     group, counts = g, {}
                 kept = counts.get(a, 0) < cap or counts.get(b, 0) < cap

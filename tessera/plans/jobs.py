@@ -65,7 +65,7 @@ def sequence_gaps(spark, sf_dir):
 def worker_liveness(spark, sf_dir):
     e = I.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("worker_id"), F.lit(60.0).alias("max_concurrent"), F.col("value").alias("running_count"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_at_epoch_ms"))
     now = e.agg(F.max("updated_at_epoch_ms").alias("now"))
-    return J.worker_liveness(e, F.lit(now.first()[0]), 21_600_000)
+    return J.worker_liveness(e, now, 21_600_000)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import materialize
 from ..functions import geo
 from ..operators import pairs as P
 from . import inputs as I
@@ -32,7 +33,7 @@ def nearest_distance(spark, sf_dir):
     FROM enu a JOIN enu b ON a.image_id < b.image_id, radius WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= r""",
 )
 def pairs_radius_calibrated(spark, sf_dir):
-    points = P.enu(I.located(spark, sf_dir))
+    points = materialize(P.enu(I.located(spark, sf_dir)), "points")
     radius = P.calibrated_radius(points, 8.0)
     return P.radius_pairs(points, radius).select(F.col("a.image_id").alias("image_a"), F.col("b.image_id").alias("image_b"), F.round("distance", 6).alias("distance_m"), F.round(F.lit(radius), 6).alias("radius_m"))
 

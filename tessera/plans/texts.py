@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import ship
 from ..functions import geo, text
 from ..operators import sequence
 from ..sources import files
+from ..sources.xmp import xmp_attributes
 from . import inputs as I
 from .registry import query
 
@@ -26,18 +28,23 @@ def path_scan_filter(spark, sf_dir):
 
 @query(
     "attr_extract",
-    r"""WITH p AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, length(html) AS n FROM pages)
-    SELECT page_id, lang AS "lang", CASE WHEN page_id % 3 <> 0 THEN 37.0 + n / 1000.0 END AS latitude, CASE WHEN page_id % 2 = 0 THEN '2' ELSE '1' END AS v FROM p""",
+    r"""WITH p AS (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, length(html) AS n, page_id % 5 <> 4 AS whole FROM pages)
+    SELECT page_id, CASE WHEN whole THEN lang END AS "lang", CASE WHEN whole AND page_id % 3 <> 0 THEN 37.0 + n / 1000.0 END AS latitude,
+      CASE WHEN whole THEN CASE WHEN page_id % 2 = 0 THEN '2>1' ELSE '1' END END AS v, CASE WHEN whole THEN 'O''Neil & "Söhne" <' || CAST(page_id AS VARCHAR) || '>' END AS model FROM p""",
 )
 def attr_extract(spark, sf_dir):
-    """Attributes of an XMP packet made from each page: the last of a name wins, what is not a number is null."""
+    """Attributes of an XMP packet made from each page: quotes, entities and marks in values are text, the last of a name
+    wins, what is not a number is null, and a packet that is no XML has none."""
     n, k = F.length("html"), F.col("page_id")
     packet = F.concat(
-        F.lit('junk<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF><rdf:Description d:Lang="'), F.regexp_extract("html", '<html lang="([^"]*)"', 1), F.lit('" d:GpsLatitude="'),
-        F.when(k % 3 != 0, (37.0 + n / 1000.0).cast("string")).otherwise("none"), F.lit('" d:V="1"/>'), F.when(k % 2 == 0, "<rdf:Description d:V='2'></rdf:Description>").otherwise(""), F.lit("</rdf:RDF></x:xmpmeta>tail"),
+        F.lit('junk<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:d="d/"><rdf:RDF xmlns:rdf="rdf/"><rdf:Description d:Lang="'), F.regexp_extract("html", '<html lang="([^"]*)"', 1), F.lit('" d:GpsLatitude="'),
+        F.when(k % 3 != 0, (37.0 + n / 1000.0).cast("string")).otherwise("none"), F.lit('" d:V="1" d:Model="O\'Neil &amp; &quot;Söhne&quot; &lt;'), k.cast("string"), F.lit('>"/>'),
+        F.when(k % 2 == 0, "<rdf:Description d:V='2>1'></rdf:Description>").otherwise(""), F.when(k % 5 == 4, "<open>").otherwise(""), F.lit("</rdf:RDF></x:xmpmeta>tail"),
     )
     at = lambda name: F.try_element_at("a", F.lit(name))
-    return I.read(spark, sf_dir, "pages").select("page_id", text.xmp_attributes(packet).alias("a")).select("page_id", at("Lang").alias("lang"), at("GpsLatitude").try_cast("double").alias("latitude"), at("V").alias("v"))
+    ship(spark)
+    pages = I.read(spark, sf_dir, "pages").select("page_id", xmp_attributes(packet).alias("a"))
+    return pages.select("page_id", at("Lang").alias("lang"), at("GpsLatitude").try_cast("double").alias("latitude"), at("V").alias("v"), at("Model").alias("model"))
 
 
 STAGE_SQL = "['COLMAP_LOFTR_PROGRESS', 'COLMAP_MAPPING_PROGRESS', 'MATCH_GEOMETRY', 'DONE', 'UNKNOWN', 'PREVIEW_UPDATED'][CAST(event_id % 6 AS INTEGER) + 1]"
@@ -84,7 +91,7 @@ def transfer_progress_parse(spark, sf_dir):
     unit = F.element_at(F.array(*map(F.lit, ("kB", "MB", "GB"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
     shown = F.format_string("     %s  %d%%   %.2f%s/s    0:00:03 (xfr#12, to-chk=88/103)", F.format_number(F.bround("l_extendedprice", 0), 0), F.col("l_quantity").cast("int"), F.col("l_tax") * 100 + 1, unit)
     lines = I.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 4, "DJI_0001.JPG").otherwise(shown).alias("line"))
-    return lines.withColumn("p", text.transfer_progress(F.col("line"))).where("p IS NOT NULL").select("l_orderkey", "l_linenumber", "p.bytes", "p.percent", F.round("p.rate_mbps", 6).alias("rate_mbps"))
+    return lines.where(F.col("line").contains("%")).withColumn("p", text.transfer_progress(F.col("line"))).where("p IS NOT NULL").select("l_orderkey", "l_linenumber", "p.bytes", "p.percent", F.round("p.rate_mbps", 6).alias("rate_mbps"))
 
 
 @query(

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..durable import ship
 from ..functions import geo, text
+from .xmp import xmp_attributes
 
 
 def scan_images(spark: SparkSession, folder: str, below: tuple[str, ...] = ("output", "excluded")) -> DataFrame:
@@ -38,8 +40,8 @@ def metadata(images: DataFrame) -> DataFrame:
 
     Files whose XMP has neither coordinate leave the position to exif(), which is joined by path.
     """
-    xmp = text.xmp_attributes(F.decode("content", "ISO-8859-1"))
-    rows = images.select("path", xmp.alias("xmp"))
+    ship(images.sparkSession)
+    rows = images.select("path", xmp_attributes(F.col("content")).alias("xmp"))
     number = lambda k: F.try_element_at("xmp", F.lit(k)).try_cast("double")
     word = lambda k: F.try_element_at("xmp", F.lit(k))
     has_position = F.map_contains_key("xmp", "GpsLatitude") | F.map_contains_key("xmp", "GpsLongtitude")
@@ -130,9 +132,25 @@ PACKET = 188
 
 def ts_packets(bundles: DataFrame, size: int = PACKET) -> DataFrame:
     """Transport-stream packets of bundles(stream_id, chunk_id, timestamp_sec, data); a part at the end is left out."""
-    n = F.floor(F.octet_length("data") / size).cast("int")
-    some = bundles.where(n > 0).withColumn("packet_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return some.withColumn("packet", F.substring("data", F.col("packet_no") * size + 1, F.lit(size))).drop("data")
+    from pyspark.sql import types as T
+
+    kept = [f for f in bundles.schema if f.name != "data"]
+    schema = T.StructType([*kept, T.StructField("packet_no", T.IntegerType()), T.StructField("packet", T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            # A bundle at a time, some packets at a time: a bundle is not copied beside each of its packets.
+            for row in range(batch.num_rows):
+                data = memoryview(batch.column("data")[row].as_buffer() or b"")
+                for at in range(0, len(data) // size, 4096):
+                    numbers = range(at, min(at + 4096, len(data) // size))
+                    same = [pa.repeat(batch.column(f.name)[row], len(numbers)) for f in kept]
+                    packets = pa.array([bytes(data[i * size : (i + 1) * size]) for i in numbers], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(numbers, pa.int32()), packets], names=schema.names)
+
+    return bundles.select(*(f.name for f in kept), "data").mapInArrow(run, schema)
 
 
 def flv_tags(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -176,6 +194,49 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     flatten(catalog).write.mode("overwrite").parquet(path)
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A written catalog with its nested fields."""
+    flat = spark.read.parquet(path)
+    nested: dict[str, list[str]] = {}
+    for name in flat.columns:
+        outer, _, inner = name.partition(".")
+        nested.setdefault(outer, []).append(inner)
+    field = lambda o, i: F.col(f"`{o}.{i}`")
+    group = lambda o, names: F.struct(*(field(o, i).alias(i) for i in names))
+    # A nested field of which all parts are null was null as a whole, or may be taken for it.
+    whole = lambda o, names: F.when(F.coalesce(*(field(o, i).cast("string") for i in names)).isNotNull(), group(o, names))
+    return flat.select(*(F.col(o) if names == [""] else whole(o, names).alias(o) for o, names in nested.items()))
+
+
+def cached_catalog(images: DataFrame, path: str) -> DataFrame:
+    """The catalog of scanned images(path, length, content), written under path; files that a catalog there has, with the
+    same length, are not read again, and those that are gone leave it."""
+    from .exif import catalog
+
+    spark = images.sparkSession
+    listed = images.select("path", "length")
+    try:
+        known = spark.read.parquet(f"{path}/files")
+        old = read_catalog(spark, f"{path}/catalog")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = old = None
+    if known is None:
+        whole = catalog(images)
+    else:
+        same = listed.join(known, ["path", "length"], "left_semi").select(F.col("path").alias("file_path"))
+        new = images.join(known, ["path", "length"], "left_anti")
+        whole = old.join(same, "file_path", "left_semi").select(*old.columns).unionByName(catalog(new))
+    # Beside the old ones first: they are being read.
+    write_catalog(whole, f"{path}/catalog-new")
+    listed.write.mode("overwrite").parquet(f"{path}/files-new")
+    done = read_catalog(spark, f"{path}/catalog-new")
+    write_catalog(done, f"{path}/catalog")
+    spark.read.parquet(f"{path}/files-new").write.mode("overwrite").parquet(f"{path}/files")
+    return read_catalog(spark, f"{path}/catalog")
+
+
 def json_log(rows: DataFrame, level: str, message: str, fields: list[str]) -> DataFrame:
     """Log lines with level, message and fields, as text."""
     return rows.select(F.to_json(F.struct(F.lit(level).alias("level"), F.lit(message).alias("message"), *fields)).alias("value"))

@@ -18,7 +18,7 @@ FRAMES = "stream_id string, frame_id long, at_s double, frame_no long"
 
 def throttle(frames: DataFrame, interval_s: float = 1.0) -> DataFrame:
     """Batch form: frames(stream_id, frame_id, at_s) at least interval_s after the last kept one, with their number from 0."""
-    kept = keep_spaced(frames.select("stream_id", "frame_id", "at_s"), interval_s, "stream_id", "at_s", ("at_s",))
+    kept = keep_spaced(frames.select("stream_id", "frame_id", "at_s"), interval_s, "stream_id", ["at_s", "frame_id"], ("at_s",))
     return numbered(kept, ["stream_id"], ["at_s", "frame_id"], "frame_no").withColumn("frame_no", (F.col("frame_no") - 1).cast("long"))
 
 
@@ -45,23 +45,30 @@ def batch_ends(kept: DataFrame, every: int = 10) -> DataFrame:
     return kept.where((F.col("frame_no") > 0) & ((F.col("frame_no") + 1) % every == 0))
 
 
-def extract_increment(kept: DataFrame, path: str, key: tuple[str, ...] = ("stream_id", "frame_id")) -> int:
+#: Seconds of frames that lie in one partition of their table.
+DAY_S = 86_400
+
+
+def extract_increment(kept: DataFrame, path: str, key: tuple[str, ...] = ("stream_id", "frame_id"), at: str = "at_s") -> int:
     """Appends the frames that a table does not have yet, and returns how many: running it again adds nothing.
 
-    As a foreachBatch function this makes an at-least-once stream write each frame once.
+    As a foreachBatch function this makes an at-least-once stream write each frame once. The table is partitioned by day, and
+    only the days of these frames are read to see what is there, so the cost does not grow with the table.
     """
     spark = kept.sparkSession
+    new = kept.dropDuplicates(list(key)).withColumn("day", F.floor(F.col(at) / DAY_S).cast("long"))
+    days = [r["day"] for r in new.select("day").distinct().collect()]
     try:
-        there = spark.read.parquet(path).select(*key)
+        there = spark.read.parquet(path)
+        there = there.where(F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() if None in days else F.lit(False))).select(*key)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         there = None
-    new = kept.dropDuplicates(list(key))
     new = new if there is None else new.join(there, list(key), "left_anti")
     n = new.count()
     if n:
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy("day").parquet(path)
     return n
 
 

@@ -116,9 +116,12 @@ def dispatch_retry_stream(events: DataFrame, retry_s: float = 2.0, most: int = 3
     return events.groupBy("archive_id").applyInPandasWithState(step, "archive_id long, attempts int, outcome string", "asked double, heard double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def worker_liveness(heartbeats: DataFrame, now_ms: Column, alive_ms: int = 15_000) -> DataFrame:
-    """(worker_id, last_ms, online, full) by each worker's last heartbeat."""
+def worker_liveness(heartbeats: DataFrame, now_ms: Column | DataFrame, alive_ms: int = 15_000) -> DataFrame:
+    """(worker_id, last_ms, online, full) by each worker's last heartbeat. The time is a column, or a DataFrame of one row
+    with a column now."""
     last = heartbeats.groupBy("worker_id").agg(F.max("updated_at_epoch_ms").alias("last_ms"), F.max_by(F.struct("max_concurrent", "running_count"), "updated_at_epoch_ms").alias("h"))
+    if isinstance(now_ms, DataFrame):
+        last, now_ms = last.join(F.broadcast(now_ms)), F.col("now")
     return last.select("worker_id", "last_ms", (now_ms - F.col("last_ms") <= alive_ms).alias("online"), (F.col("h.running_count") >= F.col("h.max_concurrent")).alias("full"))
 
 

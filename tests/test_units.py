@@ -76,9 +76,69 @@ def test_progress_lines(spark):
 
 
 def test_xmp(spark):
-    packet = "x<x:xmpmeta><r:Description a:Lat=\"1\" b='2'/><Description a:Lat=\"3\"></Description></x:xmpmeta>y<x:xmpmeta><Description z='9'/></x:xmpmeta>"
-    assert one(spark, text.xmp_attributes(F.lit(packet))) == {"Lat": "3", "b": "2"}
-    assert one(spark, text.xmp_attributes(F.lit("nothing"))) == {}
+    from tessera.sources.xmp import attributes_of, xmp_attributes
+
+    names = 'xmlns:x="x" xmlns:r="r" xmlns:a="a"'
+    packet = f"x<x:xmpmeta {names}><r:Description a:Lat=\"1\" b='2'/><Description a:Lat=\"3\"></Description></x:xmpmeta>y<x:xmpmeta><Description z='9'/></x:xmpmeta>"
+    rows = spark.createDataFrame([(packet,), ("nothing",), (None,)], "p string")
+    assert [r[0] for r in rows.select(xmp_attributes(F.col("p"))).collect()] == [{"Lat": "3", "b": "2"}, {}, {}]
+    hard = f'<x:xmpmeta {names}><r:Description a:Model="O\'Neil &amp; Söhne" a:V="1>2" a:W="3"/></x:xmpmeta>'
+    assert attributes_of(b"\xff\xd8" + hard.encode() + b"\0") == {"Model": "O'Neil & Söhne", "V": "1>2", "W": "3"}
+    assert attributes_of(hard.encode("latin-1"))["Model"] == "O'Neil & S\ufffdhne"
+    assert attributes_of(b"<x:xmpmeta xmlns:x='x'><Description a='1'></x:xmpmeta>") == attributes_of(b"<x:xmpmeta>") == {}
+
+
+def test_null_groups_and_ties(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(6)] + [(1, i, float(i)) for i in range(6)], "g int, i int, x double")
+    kept = sequence.keep_spaced(df, 3.0, "g", ["i"], ("x",)).collect()
+    assert sorted((r["g"] or 0, r["x"]) for r in kept) == [(0, 0.0), (0, 3.0), (1, 0.0), (1, 3.0)]
+    near = spark.createDataFrame([(None, a, b, float(k)) for k, (a, b) in enumerate([("a", "b"), ("a", "c"), ("b", "c"), ("a", "d")])], "g int, image_a string, image_b string, xyz_m double")
+    assert {(r["image_a"], r["image_b"]) for r in pairs.degree_capped(near, 1, "g").collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
+    ties = spark.createDataFrame([("s", f, 0.0) for f in (5, 3, 9)] + [("s", 1, 0.5), ("s", 7, 1.0), ("s", 6, 1.0)], "stream_id string, frame_id long, at_s double")
+    for n in (1, 3):
+        assert [(r["frame_id"], r["frame_no"]) for r in capture.throttle(ties.repartition(n)).orderBy("frame_no").collect()] == [(3, 0), (6, 1)]
+
+
+def test_rows_in_one_place(spark):
+    df = spark.createDataFrame([(f"i{k}", 1.0, 2.0, 0.0) for k in range(30)] + [("far", 50.0, 2.0, 0.0)], "image_id string, x double, y double, z double")
+    near = {r["image_id"]: r["nn"] for r in pairs.nearest_distance(df, 8.0).collect()}
+    assert near.pop("far") == 49.0 and set(near.values()) == {0.0} and len(near) == 30
+    assert pairs.calibrated_radius(df, 8.0) == 0.0
+    assert pairs.radius_pairs(df, 0.0).count() == 30 * 29 // 2
+    assert {r["nn"] for r in pairs.nearest_distance(df.where("image_id = 'far'"), 8.0).collect()} == {None}
+    with pytest.raises(ValueError):
+        pairs.radius_pairs(df, -1.0)
+
+
+def test_nearest_in_dense_and_sparse_places(spark):
+    rng = np.random.default_rng(12)
+    at = np.concatenate([rng.normal(0, 0.01, (300, 3)), rng.normal(500, 200, (40, 3))])
+    df = spark.createDataFrame([(str(i), *map(float, p)) for i, p in enumerate(at)], "image_id string, x double, y double, z double")
+    got = {r["image_id"]: r["nn"] for r in pairs.nearest_distance(df, 8.0).collect()}
+    gaps = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    assert np.allclose([got[str(i)] for i in range(len(at))], gaps.min(axis=1))
+
+
+def test_catalog_is_read_again(spark, tmp_path):
+    """Files of equal length are taken from the written catalog; new, changed and removed ones follow."""
+    from tessera.sources import files
+
+    def photo(model):
+        return f'<x:xmpmeta xmlns:x="x" xmlns:d="d"><Description d:Model="{model}" d:GpsLatitude="1.5"/></x:xmpmeta>'.encode()
+
+    def images(**models):
+        return spark.createDataFrame([(f"/f/{k}.jpg", len(photo(m)), bytearray(photo(m))) for k, m in models.items()], "path string, length long, content binary")
+
+    def names(df):
+        return {r["image_id"]: (r["camera_model"], r["gps"] and r["gps"]["latitude"]) for r in df.collect()}
+
+    path = f"file://{tmp_path}/catalog"
+    first = names(files.cached_catalog(images(a="M1", b="M2"), path))
+    assert first == {"a": ("M1", 1.5), "b": ("M2", 1.5)}
+    second = files.cached_catalog(images(a="X1", c="M3"), path)
+    assert names(second) == {"a": ("M1", 1.5), "c": ("M3", 1.5)} and second.first()["drone_pose"] is None
+    assert names(files.cached_catalog(images(a="longer"), path)) == {"a": ("longer", 1.5)}
 
 
 def test_linear_algebra(spark):
@@ -360,7 +420,7 @@ def test_reconcile(spark):
 def test_sources(spark, tmp_path):
     for name in ("a/1.jpg", "a/2.JPEG", "a/3.png", "output/4.jpg", "b/output/5.jpg", "excluded/6.jpg"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_bytes(b"\xff<x:xmpmeta><rdf:Description d:GpsLatitude='37.5' d:GpsLongtitude='127' d:AbsoluteAltitude='bad' d:GimbalYawDegree='9'/></x:xmpmeta>")
+        (tmp_path / name).write_bytes(b"\xff<x:xmpmeta xmlns:x='x' xmlns:rdf='r' xmlns:d='d'><rdf:Description d:GpsLatitude='37.5' d:GpsLongtitude='127' d:AbsoluteAltitude='bad' d:GimbalYawDegree='9'/></x:xmpmeta>")
     scanned = files.scan_images(spark, str(tmp_path))
     assert sorted(r["path"].removeprefix(f"file:{tmp_path}/") for r in scanned.collect()) == ["a/1.jpg", "a/2.JPEG", "b/output/5.jpg"]
     row = files.metadata(scanned).where("image_id = '1'").first()
@@ -427,8 +487,13 @@ def test_throttle_batch_is_stream(spark, tmp_path):
 
 
 def test_increment_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([("s", 1), ("s", 2), ("s", 2)], "stream_id string, frame_id long")
-    assert [capture.extract_increment(df, str(tmp_path / "t")) for _ in range(2)] == [2, 0]
+    df = spark.createDataFrame([("s", 1, 5.0), ("s", 2, 90_000.0), ("s", 2, 90_000.0), ("s", 3, None)], "stream_id string, frame_id long, at_s double")
+    path = str(tmp_path / "t")
+    assert [capture.extract_increment(df, path) for _ in range(2)] == [3, 0]
+    more = spark.createDataFrame([("s", 2, 90_000.0), ("s", 4, 90_001.0)], df.schema)
+    assert [capture.extract_increment(more, path) for _ in range(2)] == [1, 0]
+    days = spark.read.parquet(path).groupBy("day").count().collect()
+    assert {r["day"]: r["count"] for r in days} == {0: 1, 1: 2, None: 1}
 
 
 def test_job_state_batch_is_stream(spark, tmp_path):
