@@ -22,14 +22,14 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold go."""
-    judged = quality.with_features(docs.select("doc_id", "text"))
-    featured = common.materialize(judged, "quality-features").withColumn("held_out", quality.held_out())
-    model = quality.learn(featured.where(~F.col("held_out")), common.read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where(~quality.held_out())
+    labels = common.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
+    model = quality.learn(rows, labels)
     return quality.filtered(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, texts with 0.8 or more of their shingles of five words in common, one row stays:
+    """Of each group of near duplicates (SimHash with Golay keys, see nearcopies), texts with 0.8 or more of their shingles of five words in common, one row stays:
     that with the least doc_id, null last. Different texts under one doc_id, or under none, are judged on their own."""
     return nearcopies.one_of_each(docs)
 
