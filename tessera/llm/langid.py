@@ -50,7 +50,8 @@ class Profiles:
         letter = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (ALPHABET, dimensions))
         self.first, self.second, self.third = np.roll(letter, 2, axis=1), np.roll(letter, 1, axis=1), letter
         self.place = np.full(ALPHABET**3, -1, np.int32)
-        self.rows, self.vectors = 0, np.zeros((4096, dimensions), np.float32)
+        # A byte per component, so all trigrams that there can be take 128 MB.
+        self.rows, self.vectors = 0, np.zeros((4096, dimensions), np.int8)
 
     def trigrams(self, texts: list[str]):
         """Owner (index of the text) and code of every trigram around a letter; runs of other characters are one edge."""
@@ -76,7 +77,7 @@ class Profiles:
         if len(new):
             need = self.rows + len(new)
             if need > len(self.vectors):
-                grown = np.zeros((max(need, 2 * len(self.vectors)), self.vectors.shape[1]), np.float32)
+                grown = np.zeros((min(max(need, 2 * len(self.vectors)), ALPHABET**3), self.vectors.shape[1]), np.int8)
                 grown[: self.rows] = self.vectors[: self.rows]
                 self.vectors = grown
             a, b, c = new // ALPHABET**2, new // ALPHABET % ALPHABET, new % ALPHABET
@@ -123,7 +124,7 @@ class Profiles:
                 counts = np.bincount(cell, minlength=(till - at) * len(codes)).reshape(till - at, len(codes))
                 distinct[at:till] = np.count_nonzero(counts, axis=1)
                 kind = np.float32 if sizes[at:till].max() < 1 << 24 else np.float64
-                out[at:till] = counts.astype(kind) @ self.of(codes).astype(kind, copy=False)
+                out[at:till] = counts.astype(kind) @ self.of(codes).astype(kind)
             at = till
         return out, sizes, distinct
 
