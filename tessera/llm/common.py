@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..durable import materialize, shared_dir, ship  # noqa: F401  materialize is for the operators
+from ..durable import materialize, release, shared_dir, ship  # noqa: F401  the first two are for the operators
 
 #: Rows, and bytes of texts, that a Python task turns into Python objects at a time. A longer text goes alone.
 SLICE_ROWS = 256
@@ -25,6 +25,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark, path: str) -> str:
+    """The path as a URI. One without a scheme is on the session's default file system, as it is for Spark."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + "/" + path.lstrip("/")
+
+
+def filesystem(path: str):
+    """The file system of a URI, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
+
+
 def slice_ends(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> list[int]:
     """Where slices of a batch end, so that none has more than `rows` rows, or than `size` bytes unless one row has."""
     import numpy as np

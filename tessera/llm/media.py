@@ -3,6 +3,10 @@
 HTML is parsed into an ordered array of text and media-reference structs. Media are stored once per digest of their
 payload, as grey-scale PNG images of 8-bit samples, 64 to a row. References find their media by a join on the digest, and
 keep the position and the caption that they have in their sequence.
+
+Media lie in packs, one file per task that stored some, and an index table says where each digest's bytes are. The digest
+join resolves a reference to that place; then the task that has a pack's references reads their payloads from it. So large
+payloads are written once and read where they are asked for, and never shuffled.
 """
 
 from __future__ import annotations
@@ -11,18 +15,21 @@ import hashlib
 import struct
 import zlib
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, read
+from .common import filesystem, map_slices, materialize, qualified, read, shared_path
 
+#: Bytes of a pack that one task reads at a time of dealing out.
+PACK_SHARE = 32 << 20
 ROW_BYTES = 64
 LEVEL = 1
 CHUNK_BYTES = 1 << 20
 PNG = b"\x89PNG\r\n\x1a\n"
 SCHEME = "media:"
 
-ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string,n_bytes:long>"
+ITEM = "struct<position:int,kind:string,text:string,src:string,digest:string,caption:string,n_bytes:long>"
 
 
 def padded(data: bytes) -> bytes:
@@ -84,29 +91,79 @@ def feature(payload: bytes) -> str:
     return f"rows={len(x) // ROW_BYTES};mean={mean:.4f};sd={deviation:.4f};entropy={abs(float(-(used * np.log2(used)).sum())):.4f};columns={light}"
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """Writes the media table of documents(text) and reads it back: (digest, media). A null text is empty.
+INDEX = "digest string, pack string, at long, size long"
+
+
+def store(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes packs of the media of documents(text) under path, and returns their index: (digest, pack, at, size), one row per
+    digest. A null text is empty.
 
-    A task leaves out what it has already stored. Copies that different tasks stored are equal; one_each() takes one.
+    A task leaves out what it has already stored; of copies that different tasks stored, which are equal, the index has one.
+    A pack is written beside its place and moved there when it is whole, so a retried task leaves the same bytes.
     """
+    spark = docs.sparkSession
+    path = qualified(spark, path or shared_path(spark, "media"))
 
     def start():
+        context = TaskContext.get()
         seen: set[bytes] = set()
+        places = {k: [] for k in ("digest", "pack", "at", "size")}
+        pack = f"{path}/media-{context.partitionId():07d}.pack"
+        files = sink = None
 
         def work(rows):
-            out = {"digest": [], "media": []}
+            nonlocal files, sink
             for text in rows["text"]:
                 payload = padded((text or "").encode())
                 digest = hashlib.sha256(payload)
-                if digest.digest() not in seen:
-                    seen.add(digest.digest())
-                    out["digest"].append(digest.hexdigest())
-                    out["media"].append(to_png(payload))
-            return out
+                if digest.digest() in seen:
+                    continue
+                seen.add(digest.digest())
+                if sink is None:
+                    files, folder = filesystem(path)
+                    files.create_dir(folder, recursive=True)
+                    sink = files.open_output_stream(f"{filesystem(pack)[1]}.{context.taskAttemptId()}", compression=None)
+                media = to_png(payload)
+                for k, v in (("digest", digest.hexdigest()), ("pack", pack), ("at", sink.tell()), ("size", len(media))):
+                    places[k].append(v)
+                sink.write(media)
+
+        def finish():
+            if sink is not None:
+                sink.close()
+                name = filesystem(pack)[1]
+                files.move(f"{name}.{context.taskAttemptId()}", name)
+            return places
+
+        work.finish = finish
+        return work
+
+    placed = materialize(map_slices(docs.select("text"), INDEX, start), "media-index")
+    return materialize(one_each(placed), "media-digests")
+
+
+def fetched(places: DataFrame) -> DataFrame:
+    """(digest, media) of places(digest, pack, at, size): the stored bytes, read from the packs in their order."""
+
+    def start():
+        def work(rows):
+            media, name, source = [], None, None
+            for pack, at, size in zip(rows["pack"], rows["at"], rows["size"], strict=True):
+                if pack != name:
+                    if source is not None:
+                        source.close()
+                    files, inside = filesystem(pack)
+                    name, source = pack, files.open_input_file(inside)
+                media.append(source.read_at(size, at))
+            source.close()
+            return {"digest": rows["digest"], "media": media}
 
         return work
 
-    return materialize(map_slices(docs.select("text"), "digest string, media binary", start), "media")
+    asked = places.select("digest", "pack", "at", "size")
+    # A slice's payloads are held at a time: as many as stay small, by the sizes that the index knows.
+    spread = asked.repartition("pack", F.floor(F.col("at") / PACK_SHARE)).sortWithinPartitions("pack", "at")
+    return map_slices(spread, "digest string, media binary", start, 64)
 
 
 def one_each(media: DataFrame) -> DataFrame:
@@ -126,65 +183,123 @@ def pages_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), html.alias("html"))
 
 
-#: Elements that end a stretch of text, and those whose text is no content.
+#: Elements that end a stretch of text; those of them without content, and those that may be left open; elements whose text is
+#: no content; those that a head may have; and media elements.
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-HIDDEN = frozenset("script style template noscript head".split())
+OPEN_ENDED = frozenset("br hr dd dt li p td th tr".split())
+HIDDEN = frozenset("script style template noscript title".split())
+IN_HEAD = HIDDEN | frozenset("base link meta".split())
+MEDIA = frozenset("img video audio source".split())
 
 
 def parser():
-    """An HTML parser whose items() are the ordered stretches of text and media references of a page."""
+    """An HTML parser whose items() are the ordered stretches of text and media references of a page.
+
+    A head ends where its content does, also without an end tag. A caption belongs to the media of its own figure, before or
+    behind it, or, if that has none, to those of the figures within; it ends with the figure or with what is around it, if
+    not before. A caption outside figures is text. A script or style that is never closed hides the rest, as in browsers.
+    """
+    from collections import Counter
     from html.parser import HTMLParser
 
     class Sequence(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.found, self.text, self.hidden, self.caption, self.figure = [], [], 0, None, None
+            self.found, self.text, self.caption, self.figures = [], [], None, []
+            self.open, self.count, self.hidden, self.head = [], Counter(), 0, False
 
         def flush(self):
             words = " ".join("".join(self.text).split())
             self.text = []
             if words:
-                self.found.append({"kind": "text", "text": words, "digest": None, "caption": None, "n_bytes": None})
+                self.found.append({"kind": "text", "text": words, "src": None, "digest": None, "caption": None, "n_bytes": None})
+
+        def reference(self, given):
+            self.flush()
+            src, size = given.get("src"), given.get("data-bytes") or ""
+            digest = src[len(SCHEME) :] if (src or "").startswith(SCHEME) else None
+            self.found.append({"kind": "media", "text": None, "src": src, "digest": digest, "caption": given.get("alt"), "n_bytes": int(size) if size.isdecimal() and size.isascii() and len(size) < 19 else None})
+            if self.figures:
+                self.figures[-1]["own"].append(len(self.found) - 1)
 
         def handle_starttag(self, tag, attrs):
+            if tag == "head":
+                self.head = True
+                return
+            self.head = self.head and tag in IN_HEAD
             if tag in HIDDEN:
+                self.enter(tag)
                 self.hidden += 1
-            elif tag in ("img", "video", "audio", "source"):
-                given = dict(attrs)
-                if (src := given.get("src") or "").startswith(SCHEME):
-                    self.flush()
-                    size = given.get("data-bytes") or ""
-                    self.found.append({"kind": "media", "text": None, "digest": src[len(SCHEME) :], "caption": given.get("alt"), "n_bytes": int(size) if size.isdecimal() else None})
-                    if self.figure is not None:
-                        self.figure.append(len(self.found) - 1)
-            elif tag == "figcaption":
-                self.flush()
-                self.caption = []
+            elif self.hidden or self.head:
+                return
+            elif tag in MEDIA:
+                self.reference(dict(attrs))
             elif tag in BLOCKS:
-                self.flush()
+                if tag in ("figure", "figcaption"):
+                    self.leave("figcaption")
+                if self.caption is None:
+                    self.flush()
+                else:
+                    self.caption.append(" ")
                 if tag == "figure":
-                    self.figure = []
+                    self.figures.append({"own": [], "inner": [], "caption": None})
+                elif tag == "figcaption" and self.figures:
+                    self.caption = []
+                if tag not in OPEN_ENDED:
+                    self.enter(tag)
 
         def handle_endtag(self, tag):
-            if tag in HIDDEN:
-                self.hidden = max(0, self.hidden - 1)
-            elif tag == "figcaption" and self.caption is not None:
-                words = " ".join("".join(self.caption).split())
-                for i in self.figure or []:
-                    self.found[i]["caption"] = words
-                self.caption = None
-            elif tag in BLOCKS:
-                self.flush()
-                if tag == "figure":
-                    self.figure = None
+            if tag == "head":
+                self.head = False
+            elif tag in HIDDEN or tag in BLOCKS and not self.hidden:
+                self.leave(tag)
+                if tag in HIDDEN:
+                    return
+                if self.caption is None:
+                    self.flush()
+                else:
+                    self.caption.append(" ")
 
         def handle_data(self, data):
-            if not self.hidden:
-                (self.text if self.caption is None else self.caption).append(data)
+            if self.hidden or self.head and not data.strip():
+                return
+            self.head = False
+            (self.text if self.caption is None else self.caption).append(data)
+
+        def enter(self, tag):
+            self.open.append(tag)
+            self.count[tag] += 1
+
+        def leave(self, tag):
+            """Ends the innermost open element of this name, and all within it."""
+            while self.count[tag]:
+                last = self.open.pop()
+                self.count[last] -= 1
+                if last in HIDDEN:
+                    self.hidden -= 1
+                elif last == "figcaption" and self.caption is not None:
+                    self.figures[-1]["caption"] = " ".join("".join(self.caption).split())
+                    self.caption = None
+                elif last == "figure":
+                    self.flush()
+                    self.captioned(self.figures.pop())
+                if last == tag:
+                    return
+
+        def captioned(self, figure):
+            both = figure["own"] + figure["inner"]
+            if figure["caption"] is not None:
+                for i in figure["own"] or figure["inner"]:
+                    self.found[i]["caption"] = figure["caption"]
+                both = figure["own"] and figure["inner"]
+            if self.figures:
+                self.figures[-1]["inner"] += both
 
         def items(self, html: str):
             self.feed(html)
             self.close()
+            while self.open:
+                self.leave(self.open[-1])
             self.flush()
             return [{"position": i, **x} for i, x in enumerate(self.found)]
 
@@ -205,7 +320,7 @@ def sequences(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def resolve(sequenced: DataFrame, media: DataFrame) -> DataFrame:
     """One row per item of each sequence, with what media(digest, ...) knows of it, payloads or figures: key, position,
-    kind, text, digest, caption, n_bytes, and the columns of media. Texts and unknown digests have nulls there; sequences
+    kind, text, src, digest, caption, n_bytes, and the columns of media. Texts and unknown digests have nulls there; sequences
     without items give no rows. media has one row per digest, see one_each().
 
     A digest that very many items share stays a plain join key: Spark splits such partitions of the item side at run time.
@@ -240,16 +355,19 @@ def measured(media: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Stores the texts of documents(doc_id, text, lang, source) as media, and resolves the reference on each one's page to
-    the figures of the stored bytes.
+    """Stores the texts of documents(doc_id, text, lang, source) as media, and resolves the reference on each one's page.
 
-    Stored bytes are measured where they lie, so payloads are not shuffled; their figures, one row per digest, are written
-    down and join the references by digest, a join that Spark can split where very many references share one.
+    Each digest that the pages refer to is joined with the index; its payload is read back from the pack and measured. What
+    the payloads amount to, one row per digest, joins the references, which keep their positions and captions. So a payload
+    that very many references share is read once, and Spark can split the second join where a digest is frequent.
     Null and empty texts are 64 zero bytes; repeated rows give repeated rows; other columns are left out; an empty table
     gives no rows.
     """
-    figures = materialize(one_each(measured(store(docs))), "media-figures")
-    found = resolve(sequences(pages_of(docs)), figures).where("kind = 'media'")
+    index = store(docs)
+    sequenced = materialize(sequences(pages_of(docs)), "sequences")
+    wanted = sequenced.select(F.inline("items")).where("digest is not null").select("digest").distinct()
+    figures = materialize(measured(fetched(index.join(wanted, "digest"))), "media-figures")
+    found = resolve(sequenced, figures).where("kind = 'media'")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 

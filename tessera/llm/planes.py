@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_slices, shared_path, ship, slice_ends
+from .common import filesystem, map_slices, qualified, shared_path, ship, slice_ends
 from .wordbpe import ENCODE_BYTES, ENCODE_ROWS, encoder
 
 MAGIC = b"TPLANES1"
@@ -143,20 +143,6 @@ class PlaneReader:
             start += n
 
 
-def qualified(spark, path: str) -> str:
-    """The path as a URI. One without a scheme is on the session's default file system, as it is for Spark."""
-    if "://" in path or path.startswith("file:"):
-        return path
-    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + "/" + path.lstrip("/")
-
-
-def _filesystem(path: str):
-    """The file system of a URI, and the path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
-
-
 def in_id_order(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Deals documents to consecutive ranges of doc_id, one per partition, each sorted; a null doc_id comes first.
 
@@ -191,7 +177,7 @@ def write_planes(docs: DataFrame, path: str, unit: str = "byte", tokenizer: str
                 rows = batch.slice(at, end - at).to_pydict()
                 at = end
                 if writer is None:
-                    files, folder = _filesystem(path)
+                    files, folder = filesystem(path)
                     files.create_dir(folder, recursive=True)
                     name = f"{folder}/ids-{number:07d}.planes"
                     beside = f"{name}.{context.taskAttemptId()}"
@@ -225,7 +211,7 @@ def read_planes(manifest: DataFrame) -> DataFrame:
         def work(rows):
             out = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32")}
             for path, base in zip(rows["path"], rows["base"], strict=True):
-                store, name = _filesystem(path)
+                store, name = filesystem(path)
                 with store.open_input_file(name) as f:
                     for doc, at, n, parts in PlaneReader(f).documents():
                         crc = 0
