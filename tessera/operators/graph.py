@@ -238,7 +238,7 @@ def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds:
             if np.isfinite(after).all() and loss < best:
                 gain = best - loss
                 state, now, best, weight, damping = trial, after, loss, weight_after, max(damping / 5, 1e-12)
-                if gain < 1e-9 * (1 + best):
+                if gain < 1e-14 * (1 + best):
                     break
             else:
                 damping *= 10
