@@ -5,8 +5,11 @@ the term if q is positive, and from its greatest if q is negative: q * (x - edge
 q * edge is the same for every row. A term's bound is |q| times the shard's range of the term. The terms with the smallest
 bounds that together cannot lift a row past the threshold are non-essential. The postings of the essential terms are
 traversed in full; rows whose partial score and remaining bounds still compete are probed in the other terms, the
-largest bounds first, and dropped as soon as they fall behind. Shards and query blocks meet in a grid, each cell gives its
-k best, and the cells of a query are merged.
+largest bounds first, and dropped as soon as they fall behind.
+
+Shards stay where they are, and blocks of queries, which are far smaller, travel to each of them. A shard first scores a few
+of its rows for all queries of a block in one product, which gives each query a threshold; the essential terms of all queries
+are traversed in one product too. A shard gives each query's k best, and these are merged.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ QUERY_EVERY = 20
 #: Rows of a shard and queries of a block: what one task holds.
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
-#: Rows that are scored first, in all terms, for a threshold; and terms probed between two prunings.
-SEED_ROWS = 512
+#: Rows that are scored first, in all terms, for a threshold; terms probed between two prunings; queries traversed together.
+SEED_ROWS = 1024
 PROBE_TERMS = 8
+GROUP_QUERIES = 64
 
 HITS = "query_id long, vec_id long, score long"
 BLOCK = "block long, ids binary, width int, weights binary"
@@ -54,61 +58,81 @@ class Shard:
         self.postings = np.ascontiguousarray(rows[order].T.astype(kind))
         self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
 
-    def top(self, query_id: int, query, k: int):
-        """Rows and scores of the k best for a query, itself left out."""
+    def top(self, query_ids, queries, k: int):
+        """For each query the rows and scores of its k best, itself left out: a list of (ids, scores)."""
         import numpy as np
 
-        query = query.astype(self.kind)
-        terms = np.nonzero(query)[0]
-        edge = np.where(query > 0, self.low, self.high)
-        base = (query * edge).sum()
-        bounds = np.abs(query) * (self.high - self.low)
-        terms = terms[np.argsort(-bounds[terms], kind="stable")]
-        others = self.ids != query_id
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0, self.kind)
-        n, at = len(self.ids), 0
-        while at < n:
-            till = min(n, at + (SEED_ROWS if not at else n))
-            rows = np.arange(at, till)[others[at:till]]
-            at = till
-            if len(best) < k:  # no threshold yet
-                scores = query[terms] @ self.postings[np.ix_(terms, rows)] if len(terms) else np.zeros(len(rows), self.kind)
-            else:
-                rows, scores = self._competitive(query, terms, edge, bounds, base, rows, best[-1])
-            rows, scores = np.concatenate([best_rows, rows]), np.concatenate([best, scores])
-            order = np.lexsort((self.ids[rows], -scores))[:k]
-            best_rows, best = rows[order], scores[order]
-        return self.ids[best_rows], best.astype(np.int64)
-
-    def _competitive(self, query, terms, edge, bounds, base, rows, threshold):
-        """Exact scores of those rows that reach the threshold, also by a tie."""
+        out = []
+        for at in range(0, len(query_ids), GROUP_QUERIES):
+            out += self._top(query_ids[at : at + GROUP_QUERIES], queries[at : at + GROUP_QUERIES].astype(self.kind), k)
+        return [(self.ids[rows], scores.astype(np.int64)) for rows, scores in out]
+
+    def _top(self, query_ids, queries, k: int):
         import numpy as np
 
-        after = np.concatenate([np.cumsum(bounds[terms][::-1])[::-1], np.zeros(1, self.kind)])  # bound of terms[i:]
-        # A row in none of the essential terms would score base + after[split] at most.
-        split = max(1, int(np.argmax(base + after < threshold))) if (base + after < threshold).any() else len(terms)
-        first = terms[:split]
-        lo, hi = (rows[0], rows[-1] + 1) if len(rows) else (0, 0)
-        scores = (query[first] @ self.postings[first, lo:hi])[rows - lo] + base - (query[first] * edge[first]).sum()
-        at = split
-        while at < len(terms) and len(rows):
+        n = len(self.ids)
+        seed = min(n, max(SEED_ROWS, k + 1))
+        first = queries @ self.postings[:, :seed]
+        best = [self._best(np.arange(seed)[self.ids[:seed] != q], first[i][self.ids[:seed] != q], k) for i, q in enumerate(query_ids)]
+        if seed == n:
+            return best
+        if any(len(rows) < k for rows, _ in best):  # a query's own id many times among the seed: no threshold for it
+            rest = queries @ self.postings[:, seed:]
+            rows = np.arange(seed, n)
+            return [self._merged(best[i], rows[self.ids[seed:] != q], rest[i][self.ids[seed:] != q], k) for i, q in enumerate(query_ids)]
+        edge = np.where(queries > 0, self.low, self.high)
+        bounds = np.abs(queries) * (self.high - self.low)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        ranked = np.take_along_axis(bounds, order, axis=1)
+        # after[:, i]: what the terms from the i-th on add at most; a row in none before them scores base + after at most.
+        after = np.concatenate([np.cumsum(ranked[:, ::-1], axis=1)[:, ::-1], np.zeros((len(queries), 1), self.kind)], axis=1)
+        base = (queries * edge).sum(axis=1)
+        threshold = np.array([scores[-1] for _, scores in best], self.kind)
+        hopeless = base[:, None] + after < threshold[:, None]
+        split = np.where(hopeless.any(axis=1), hopeless.argmax(axis=1), order.shape[1])
+        essential = np.zeros(queries.shape, bool)
+        np.put_along_axis(essential, order, np.arange(order.shape[1])[None, :] < split[:, None], axis=1)
+        traversed = np.where(essential, queries, 0)
+        scores = traversed @ self.postings[:, seed:]
+        scores += (base - (traversed * edge).sum(axis=1))[:, None]
+        for i, q in enumerate(query_ids):
+            rows = np.nonzero((scores[i] + after[i, split[i]] >= threshold[i]) & (self.ids[seed:] != q))[0]
+            best[i] = self._merged(best[i], *self._probe(queries[i], order[i], edge[i], after[i], split[i], rows + seed, scores[i][rows], threshold[i]), k)
+        return best
+
+    def _probe(self, query, order, edge, after, at, rows, scores, threshold):
+        """Exact scores of those rows that reach the threshold, also by a tie; scores: those of the terms order[:at]."""
+        while at < len(order) and len(rows):
+            step = order[at : at + PROBE_TERMS]
+            scores = scores + query[step] @ (self.postings[step[:, None], rows[None, :]] - edge[step, None])
+            at = min(at + PROBE_TERMS, len(order))
             keep = scores + after[at] >= threshold
             rows, scores = rows[keep], scores[keep]
-            step = terms[at : at + PROBE_TERMS]
-            scores = scores + query[step] @ (self.postings[step[:, None], rows[None, :]] - edge[step, None])
-            at += PROBE_TERMS
-        keep = scores >= threshold
-        return rows[keep], scores[keep]
+        return rows, scores
 
+    def _merged(self, best, rows, scores, k):
+        import numpy as np
+
+        return self._best(np.concatenate([best[0], rows]), np.concatenate([best[1], scores]), k)
 
-def blocks(vectors: DataFrame, rows: int, scale: int = SCALE) -> DataFrame:
-    """vectors(vec_id, embedding) as one row per block of about `rows` vectors, components turned into floor(scale * x).
+    def _best(self, rows, scores, k):
+        """The k rows of the highest scores, ties to the smaller id."""
+        import numpy as np
+
+        if len(rows) > 4 * k > 0:  # all that reach the k-th score, then those in order
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            rows, scores = rows[keep], scores[keep]
+        order = np.lexsort((self.ids[rows], -scores))[:k]
+        return rows[order], scores[order]
+
+
+def blocks(vectors: DataFrame, parts: int, scale: int = SCALE) -> DataFrame:
+    """vectors(vec_id, embedding) dealt to `parts` blocks of a row each, components turned into floor(scale * x).
 
     Null vectors and those with null or non-finite components are left out; so are rows without vec_id. Shorter vectors
     count as ending in zeros.
     """
     ship(vectors.sparkSession)
-    parts = max(1, math.ceil(vectors.count() / rows))
     schema = T.StructType.fromDDL(BLOCK)
     arrow = to_arrow_schema(schema)
 
@@ -154,34 +178,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     Both sides have (vec_id, embedding). Gives query_id, rank from 1, vec_id, score; fewer than k where fewer take part.
     Repeated rows compete each for itself. Empty tables give no rows. Scores have to fit a long.
     """
-    shards = blocks(vectors, shard_rows, scale)
-    asked = blocks(queries, block_queries, scale)
-    n_shards = max(1, math.ceil(vectors.count() / shard_rows))
-    n_asked = max(1, math.ceil(queries.count() / block_queries))
-    # Every block of queries meets every shard: a grid of cells, whose rows are whole blocks.
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = shards.select(F.col("block").alias("s"), "ids", "width", "weights", upto(n_asked).alias("q"))
-    right = asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("weights").alias("q_weights"), upto(n_shards).alias("s"))
-    cells = left.join(right, ["s", "q"])
+    # One count of both sides; nulls are left out by the blocks.
+    n = queries.select(F.lit(1).alias("asked")).unionByName(vectors.select(F.lit(0).alias("asked"))).agg(F.count("*").alias("all"), F.sum("asked").alias("asked")).first()
+    n_asked = max(1, math.ceil((n["asked"] or 0) / block_queries))
+    n_shards = max(1, math.ceil((n["all"] - (n["asked"] or 0)) / shard_rows))
+    # A copy of each block of queries goes to every shard. Where a shard's row lies, it comes first and the blocks stream by.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))
+    asked = blocks(queries, n_asked, scale).select(every.alias("block"), F.lit(1).alias("asked"), "ids", "width", "weights")
+    shards = blocks(vectors, n_shards, scale).select("block", F.lit(0).alias("asked"), "ids", "width", "weights")
+    meetings = shards.unionByName(asked).repartition(n_shards, "block").sortWithinPartitions("block", "asked")
     schema = T.StructType.fromDDL(HITS)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         import numpy as np
 
+        block, weights, held = None, None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "width", "weights", "q_ids", "q_width", "q_weights")}
-                ids, weights = unpack(row["ids"], row["width"], row["weights"])
-                q_ids, q_weights = unpack(row["q_ids"], row["q_width"], row["q_weights"])
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if not row["asked"]:
+                    block, held = row["block"], {}
+                    ids, weights = unpack(row["ids"], row["width"], row["weights"])
+                    continue
+                if row["block"] != block:
+                    continue  # this shard has no vectors that take part
+                q_ids, q_weights = unpack(row["ids"], row["width"], row["weights"])
                 width = min(weights.shape[1], q_weights.shape[1])
-                weights, q_weights = weights[:, :width], q_weights[:, :width]
-                top = [int(abs(x).max()) if x.size else 0 for x in (q_weights, weights)]
-                shard = Shard(ids, weights, exact_type(*top, width))
-                hits = [(q, *shard.top(q, w, k)) for q, w in zip(q_ids.tolist(), q_weights, strict=True)]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, [len(h[1]) for h in hits]), "vec_id": np.concatenate([h[1] for h in hits]), "score": np.concatenate([h[2] for h in hits])}, schema=arrow)
-
-    hits = cells.mapInArrow(run, schema)
+                top = [int(abs(x).max()) if x.size else 0 for x in (q_weights[:, :width], weights[:, :width])]
+                how = width, exact_type(*top, width)
+                if how not in held:
+                    held = {how: Shard(ids, weights[:, :width], how[1])}
+                hits = held[how].top(q_ids, q_weights[:, :width], k)
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, [len(h[0]) for h in hits]), "vec_id": np.concatenate([h[0] for h in hits]), "score": np.concatenate([h[1] for h in hits])}, schema=arrow)
+
+    hits = meetings.mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -55,9 +55,22 @@ def test_shard_is_exact(scale, kind):
     assert maxscore.exact_type(scale, scale, 16) is kind
     shard = maxscore.Shard(ids, rows, kind)
     small = max(1, min(scale, 2**14))  # scores have to fit a long
-    for q in rng.integers(-small, small, (8, 16)):
-        want = sorted(((-int(s), int(i)) for s, i in zip(rows @ q, ids) if i != 5))[:20]
-        got_ids, got = shard.top(5, q, 20)
+    queries = rng.integers(-small, small, (70, 16))
+    queries[3] = 0
+    for q, own, (got_ids, got) in zip(queries, range(70), shard.top(np.arange(70), queries, 20), strict=True):
+        want = sorted(((-int(s), int(i)) for s, i in zip(rows @ q, ids) if i != own))[:20]
+        assert [(-int(s), int(i)) for s, i in zip(got, got_ids)] == want
+
+
+def test_shard_with_a_query_many_times():
+    """A query's own id fills the rows that are scored first."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-20, 20, (3000, 8))
+    ids = np.where(np.arange(3000) < 2900, 1, np.arange(3000))
+    queries = rng.integers(-20, 20, (3, 8))
+    shard = maxscore.Shard(ids, rows, np.float32)
+    for own, q, (got_ids, got) in zip((1, 2, 2999), queries, shard.top(np.array([1, 2, 2999]), queries, 20), strict=True):
+        want = sorted(((-int(s), int(i)) for s, i in zip(rows @ q, ids) if i != own))[:20]
         assert [(-int(s), int(i)) for s, i in zip(got, got_ids)] == want
 
 
@@ -144,7 +157,47 @@ def test_sequences_keep_order(spark):
     store = spark.createDataFrame([("aa", bytearray(b"A"))], "digest string, media binary")
     got = media.resolve(media.sequences(pages), store).orderBy("doc_id", "position")
     rows = [(r["doc_id"], r["position"], r["kind"], r["text"], r["digest"], r["caption"], r["media"] and bytes(r["media"])) for r in got.collect()]
-    assert rows == [(1, 0, "text", "one & two", None, None, None), (1, 1, "media", None, "aa", "the caption", b"A"), (1, 2, "text", "tail", None, None, None), (1, 3, "media", None, "bb", "B", None), (1, 4, "text", "end", None, None, None), (3, 0, "text", "plain", None, None, None)]
+    assert rows == [(1, 0, "text", "one & two", None, None, None), (1, 1, "media", None, "aa", "the caption", b"A"), (1, 2, "text", "tail", None, None, None), (1, 3, "media", None, "bb", "B", None), (1, 4, "media", None, None, None, None), (1, 5, "text", "end", None, None, None), (3, 0, "text", "plain", None, None, None)]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<head><title>t</title><meta charset=x><p>one", ["one"]),
+        ("<html><head><title>t</title>bare text", ["bare text"]),
+        ("<figure><figcaption>c</figcaption><img src=media:a></figure>d", [("media:a", "c"), "d"]),
+        ("<figure><img src=media:a alt=x><figcaption>c <p>more</figure>d", [("media:a", "c more"), "d"]),
+        ("<div><figure><img src=media:a><figcaption>c</div>d", [("media:a", "c"), "d"]),
+        ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("a", "out"), ("b", "in")]),
+        ("<figure><figure><img src=a></figure><figure><img src=b><figcaption>own</figure><figcaption>out</figure>", [("a", "out"), ("b", "own")]),
+        ("<figcaption>no figure</figcaption>x", ["no figure", "x"]),
+        ("a<noscript><img src=b></noscript><img>c", ["a", (None, None), "c"]),
+        ("a<script>if (a < b) { '<p>' }</script>b", ["ab"]),
+        ("a<style>never closed <p>b", ["a"]),
+        ("</div></figure></figcaption>a</p>b<br>c", ["a", "b", "c"]),
+        ("<figure><img src=a><figcaption>one<figcaption>two</figure>", [("a", "two")]),
+        ("&lt;b&gt; &amp; <b>x</b>", ["<b> & x"]),
+    ],
+)
+def test_pages_that_are_not_well_formed(html, want):
+    got = media.parser().items(html)
+    assert [(x["src"], x["caption"]) if x["kind"] == "media" else x["text"] for x in got] == want
+    assert [x["position"] for x in got] == list(range(len(got)))
+
+
+def test_given_pages_keep_their_text(spark, sf_dir):
+    """Every word of a page's body is in its sequence, in order, by a plain stripping of tags."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r["page_id"]: r["items"] for r in media.sequences(pages, "page_id").collect()}
+    for r in pages.collect():
+        body = re.sub(r"(?is)<(script|style|noscript|template|title)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ", r["html"] or "")
+        words = html.unescape(re.sub(r"(?s)<[^>]*>", " ", body)).split()
+        items = got.pop(r["page_id"])
+        assert "".join(x["text"] for x in items if x["kind"] == "text").replace(" ", "") == "".join(words), r["page_id"]
+    assert not got
 
 
 @pytest.mark.parametrize("data", [b"", b"x", b"a" * 64, bytes(range(256)) * 9000])
@@ -239,6 +292,24 @@ def test_quality_edges(spark, odd, sf_dir):
     assert quality.judge(empty(odd), labels).count() == 0
 
 
+def test_quality_at_the_threshold():
+    """Equal texts have equal scores whatever stands beside them, and a score at the threshold counts as good."""
+    size = quality.features(["a"]).shape[1]
+    judge = quality.Judge({"weights": [0.0] * size, "mean": [0.0] * size, "deviation": [1.0] * size, "edge": 0.0})
+    scores = judge(["one", None, "", "two three"])
+    assert scores.tolist() == [quality.THRESHOLD] * 4
+    rng = np.random.default_rng(3)
+    judge = quality.Judge({"weights": rng.normal(size=size).tolist(), "mean": [0.0] * size, "deviation": [1.0] * size, "edge": 0.0})
+    texts = ["one two", "Three | four!", "", "one two", "x" * 5000]
+    assert judge(texts).tolist() == [judge([t])[0] for t in texts]
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    assert 50 < quality.sampled(docs, labels, 100).count() < 150 and quality.sampled(docs, labels, 400).count() == 400
+
+
 def test_bradley_terry():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (300, 3)), rng.normal(0, 1, (100, 3))

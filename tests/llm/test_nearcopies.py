@@ -68,6 +68,26 @@ def test_a_crowd_of_near_copies_leaves_one(spark):
     assert sorted(d for d, _ in stay(spark, rows)) == want and len(want) == 21
 
 
+def test_copies_of_copies_and_loners_in_a_crowd(spark):
+    """A crowd in which some are alike only by way of others, and some are near but not alike any."""
+    rng = random.Random(6)
+    base = words(rng, 150)
+    rows = [(i, " ".join(edited(rng, base, 1 + i % 8))) for i in range(160)]
+    far = edited(rng, base, 6)
+    rows += [(500 + i, " ".join(edited(rng, far, 1))) for i in range(3)]
+    passage = words(rng, 60)
+    rows += [(1000 + i, " ".join(passage + words(rng, 40))) for i in range(120)]
+    want = sorted(min(g)[1] for g in plain_kept(rows).values())
+    assert sorted(d for d, _ in stay(spark, rows)) == want and 122 < len(want) < 280
+
+
+def test_given_documents_against_all_pairs(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10**6 + i, " ".join(t.split()[:-1])) for i, (_, t) in enumerate(rows[:40]) if t and len(t.split()) > 60]
+    want = sorted(min(g)[1] for g in plain_kept(rows).values())
+    assert sorted(d for d, _ in stay(spark, rows)) == want and len(want) < len(rows)
+
+
 def test_rows_decide_not_ids(spark):
     rng = random.Random(5)
     a, b, c = (" ".join(words(rng, 50)) for _ in range(3))
