@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import map_slices, materialize, per_worker, read
 
 SEED = 42
@@ -154,34 +155,6 @@ def links(fps: DataFrame, crowd: int = KEY_CROWD) -> DataFrame:
     return pairs.unionByName(tied)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the least node that can be reached.
-
-    Alternates large-star and small-star steps, which keep the components and end in stars; every round is cut off from
-    its past by a table in the shared folder.
-    """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = materialize(now, "components")
-    sign = None
-    for _ in range(most_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == sign:
-            break
-        sign = tuple(mark)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # Large star: the larger neighbours of u move to the least of u and its neighbours.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id that links reach, for each row.
 
