@@ -177,10 +177,9 @@ def flv_tags(files: DataFrame, key: str = "path", content: str = "content") -> D
 
 def concat_list(frames: DataFrame, path: str, order: str, fps: float) -> DataFrame:
     """The lines of a concat list: file and duration per frame, the last file once more at the end."""
-    from pyspark.sql import Window
-
     quoted = F.concat(F.lit("file '"), F.replace(F.col(path), F.lit("'"), F.lit("'\\''")), F.lit("'"))
-    rows = frames.select(order, quoted.alias("f"), F.lead(order).over(Window.orderBy(order)).isNull().alias("last"))
+    end = frames.agg(F.max(order).alias("_end"))  # one row
+    rows = frames.join(F.broadcast(end)).select(order, quoted.alias("f"), (F.col(order) == F.col("_end")).alias("last"))
     line = F.when(F.col("last"), F.array("f", F.lit(f"duration {1 / fps:.6f}"), "f")).otherwise(F.array("f", F.lit(f"duration {1 / fps:.6f}")))
     return rows.select(order, F.posexplode(line).alias("part", "value")).orderBy(order, "part").select("value")
 
