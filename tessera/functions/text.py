@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .linalg import let
+
 
 def exif_timestamp(raw: Column) -> Column:
     """`Y:m:d H:M:S` as `Y-m-dTH:M:S` without a zone; other text as it is; empty is null."""
@@ -115,15 +117,18 @@ def stage_percent(stage: Column, progress: Column) -> Column:
 
 def transfer_progress(line: Column) -> Column:
     """bytes, percent and MB/s of a transfer's progress line; null for any other line."""
-    # One expression takes all three; lines that it does not fit stay as they are, without the mark in front.
+    # One expression takes all three, once; lines that it does not fit stay as they are, without the mark in front.
     shape = r"^(?=[^0-9]*([0-9][0-9,]*))[^%]*?(\d+)%(?:.*?([0-9.]+[A-Za-z]*)/s)?.*$"
-    parts = F.split(F.regexp_replace(line, shape, "\u0001|$1|$2|$3"), r"\|")
-    fits = line.contains("%") & (parts[0] == "\u0001")
-    figures, percent, token = F.replace(parts[1], F.lit(","), F.lit("")), parts[2], parts[3]
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    value, unit = F.translate(token, letters, "").try_cast("double"), F.translate(token, "0123456789.", "")
-    rate = F.when(unit == "kB", value / 1024).when(unit == "MB", value).when(unit == "GB", value * 1024).otherwise(value / (1024 * 1024))
-    return F.when(fits, F.struct(figures.try_cast("long").alias("bytes"), percent.cast("int").alias("percent"), F.coalesce(rate, F.lit(0.0)).alias("rate_mbps")))
+
+    def figures(parts: Column) -> Column:
+        token = parts[3]
+        value, unit = F.translate(token, letters, "").try_cast("double"), F.translate(token, "0123456789.", "")
+        rate = F.when(unit == "kB", value / 1024).when(unit == "MB", value).when(unit == "GB", value * 1024).otherwise(value / (1024 * 1024))
+        some = F.struct(F.replace(parts[1], F.lit(","), F.lit("")).try_cast("long").alias("bytes"), parts[2].cast("int").alias("percent"), F.coalesce(rate, F.lit(0.0)).alias("rate_mbps"))
+        return F.when(parts[0] == "\u0001", some)
+
+    return F.when(line.contains("%"), let(F.split(F.regexp_replace(line, shape, "\u0001|$1|$2|$3"), r"\|"), figures))
 
 
 def lines(text: Column) -> Column:
