@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, langid, maxscore, media, packing, planes, preference, quality, secrets, simhash
+from . import bytebpe, langid, maxscore, media, neardups, packing, planes, preference, quality, secrets, simhash
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,9 +23,10 @@ def queries() -> dict:
         "op8_checked_secrets": secrets.op8_checked_secrets,
         "op9_overlapping_bpe": bytebpe.op9_overlapping_bpe,
         "op10_preference_pairs": preference.op10_preference_pairs,
+        "op11_spherical_neardups": neardups.op11_spherical_neardups,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore_topk": maxscore.OP1_SQL, "op10_preference_pairs": preference.OP10_SQL}
+    return {"op1_maxscore_topk": maxscore.OP1_SQL, "op10_preference_pairs": preference.OP10_SQL, "op11_spherical_neardups": neardups.OP11_SQL}
