@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, langid, maxscore, media, neardups, packing, planes, preference, quality, secrets, simhash
+from . import bytebpe, langid, maxscore, media, neardups, packing, planes, preference, quality, repair, secrets, simhash, whitening
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,9 +24,16 @@ def queries() -> dict:
         "op9_overlapping_bpe": bytebpe.op9_overlapping_bpe,
         "op10_preference_pairs": preference.op10_preference_pairs,
         "op11_spherical_neardups": neardups.op11_spherical_neardups,
+        "op12_four_russians_repair": repair.op12_four_russians_repair,
+        "op13_refined_whitening": whitening.op13_refined_whitening,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_maxscore_topk": maxscore.OP1_SQL, "op10_preference_pairs": preference.OP10_SQL, "op11_spherical_neardups": neardups.OP11_SQL}
+    return {
+        "op1_maxscore_topk": maxscore.OP1_SQL,
+        "op10_preference_pairs": preference.OP10_SQL,
+        "op11_spherical_neardups": neardups.OP11_SQL,
+        "op12_four_russians_repair": repair.OP12_SQL,
+    }
