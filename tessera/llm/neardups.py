@@ -24,10 +24,10 @@ from .common import materialize, read, release, ship
 
 COSINE = 0.98
 #: Classes at home in a cell beyond which it is split, classes of the sample that a split is fitted on (about), children of
-#: a split at most, rounds of k-means, and the share of the products that a split may leave to be worth it.
+#: a split at least and at most, rounds of k-means, and the share of the products that a split may leave to be worth it.
 CELL_ROWS = 1024
 SAMPLE_ROWS = 4096
-CHILDREN = 32
+LEAST_CHILDREN, CHILDREN = 8, 32
 ROUNDS = 8
 WORTH = 0.8
 #: Rows of a cell that a task assigns, and of a block (about): two blocks and their links are what a task holds.
@@ -42,8 +42,8 @@ MODEL = "cell string, k int, centres binary"
 MET = "id long, other long, links long"
 
 
-def unit_vectors(classes: DataFrame, width: int) -> DataFrame:
-    """classes(id, label, embedding, m) as rows of STATE: unit vectors in double precision, shorter ones ending in zeros."""
+def packed(classes: DataFrame, width: int, kind: str) -> DataFrame:
+    """classes(id, label, embedding, m) as rows of STATE: vectors as they are (kind: f4 or f8), shorter ones ending in zeros."""
     ship(classes.sparkSession)
     schema = T.StructType.fromDDL(STATE)
     arrow = to_arrow_schema(schema)
@@ -54,23 +54,23 @@ def unit_vectors(classes: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.zeros((batch.num_rows, width))
+            rows = np.zeros((batch.num_rows, width), kind)
             for i, x in enumerate(batch.column("embedding").to_pylist()):
                 rows[i, : len(x)] = x
-            rows /= np.abs(rows).max(axis=1, keepdims=True)
-            rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
             vec = pa.array([x.tobytes() for x in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("cell").cast(pa.string()), pa.array([True] * len(rows)), batch.column("id"), batch.column("m"), vec], schema=arrow)
 
     return classes.select(F.col("label").cast("string").alias("cell"), "id", "m", F.col("embedding")).mapInArrow(run, schema)
 
 
-def stacked(column):
-    """Binary vectors of equal length as a matrix."""
+def unit_vectors(column, kind: str):
+    """Packed vectors as a matrix of unit vectors in double precision."""
     import numpy as np
 
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
+    rows = np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def spherical_centres(rows, k: int, seed: int, rounds: int = ROUNDS):
@@ -106,7 +106,7 @@ def homes_and_visits(rows, centres, cosine: float):
     return near.argmax(axis=1), visits
 
 
-def fit_cells(state: DataFrame, cells: DataFrame, cosine: float, cell_rows: int, sample_rows: int) -> DataFrame:
+def fit_cells(state: DataFrame, cells: DataFrame, kind: str, cosine: float, cell_rows: int, sample_rows: int) -> DataFrame:
     """A row of MODEL for each of cells(cell, homes, rows) that is worth splitting, fitted on about sample_rows of its homes,
     which are chosen by a hash of their ids."""
     arrow = to_arrow_schema(T.StructType.fromDDL(MODEL))
@@ -118,8 +118,8 @@ def fit_cells(state: DataFrame, cells: DataFrame, cosine: float, cell_rows: int,
 
         cell = key[0].as_py()
         table = table.sort_by("id")
-        rows = stacked(table.column("vec"))
-        k = min(CHILDREN, max(2, math.ceil(2 * table.column("homes")[0].as_py() / cell_rows)))
+        rows = unit_vectors(table.column("vec"), kind)
+        k = min(CHILDREN, max(LEAST_CHILDREN, math.ceil(2 * table.column("homes")[0].as_py() / cell_rows)))
         centres = spherical_centres(rows, k, zlib.crc32(cell.encode()))
         home, visits = homes_and_visits(rows, centres, cosine)
         work = (np.bincount(home, minlength=len(centres)) * visits.sum(axis=0)).sum()
@@ -132,7 +132,7 @@ def fit_cells(state: DataFrame, cells: DataFrame, cosine: float, cell_rows: int,
     return sample.groupBy("cell").applyInArrow(run, MODEL)
 
 
-def split_cells(state: DataFrame, models: DataFrame, cells: DataFrame, cosine: float) -> DataFrame:
+def split_cells(state: DataFrame, models: DataFrame, cells: DataFrame, kind: str, cosine: float) -> DataFrame:
     """The rows of the cells that have a model, in the cells below. The model comes first and the rows stream by; a crowded
     cell has several streams, each with a copy of its model, of bounded size."""
     schema = T.StructType.fromDDL(STATE)
@@ -157,7 +157,7 @@ def split_cells(state: DataFrame, models: DataFrame, cells: DataFrame, cosine: f
                 while end < batch.num_rows and parts[end] and cells[end] == cells[at]:
                     end += 1
                 some = batch.slice(at, end - at)
-                home, visits = homes_and_visits(stacked(some.column("vec")), centres, cosine)
+                home, visits = homes_and_visits(unit_vectors(some.column("vec"), kind), centres, cosine)
                 row, cell = np.nonzero(visits)
                 mine = np.asarray(some.column("home").to_pylist(), bool)[row] & (home[row] == cell)
                 took = some.take(pa.array(row))
@@ -195,7 +195,7 @@ def forest(links):
     return out
 
 
-def met_blocks(state: DataFrame, cosine: float, block_rows: int) -> DataFrame:
+def met_blocks(state: DataFrame, kind: str, cosine: float, block_rows: int) -> DataFrame:
     """Rows of MET: with `links`, the number of rows at home in a cell that a class is linked with there; with `other`, a
     link that holds a group of links together."""
     sizes = state.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
@@ -214,7 +214,7 @@ def met_blocks(state: DataFrame, cosine: float, block_rows: int) -> DataFrame:
         none = pa.Table.from_pydict({"id": [], "other": [], "links": []}, schema=arrow)
         if not len(ids[0]) or not len(ids[1]):
             return none
-        left, right = (stacked(t.column("vec")) for t in sides)
+        left, right = (unit_vectors(t.column("vec"), kind) for t in sides)
         links = np.zeros((len(left), len(right)), bool)
         for at in range(0, len(left), TILE_ROWS):
             links[at : at + TILE_ROWS] = left[at : at + TILE_ROWS] @ right.T >= cosine
@@ -255,22 +255,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
     classes = some.groupBy("label", "embedding").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     width = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
-    state, settled = materialize(unit_vectors(classes, width), "vector-cells"), []
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    state, settled = materialize(packed(classes, width, kind), "vector-cells"), []
+    written = [state]
     for _ in range(most_levels):
         cells = materialize(state.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows")), "cell-sizes")
-        models = materialize(fit_cells(state, cells.where(F.col("homes") > cell_rows), cosine, cell_rows, sample_rows), "cell-models")
+        models = materialize(fit_cells(state, cells.where(F.col("homes") > cell_rows), kind, cosine, cell_rows, sample_rows), "cell-models")
+        written += [cells, models]
         if models.isEmpty():
             break
         settled.append(state.join(models.select("cell"), "cell", "left_anti"))
-        state = materialize(split_cells(state, models, cells, cosine), "vector-cells")
-    met = materialize(met_blocks(_all([*settled, state]), cosine, block_rows), "vector-links")
+        state = materialize(split_cells(state, models, cells, kind, cosine), "vector-cells")
+        written.append(state)
+    met = materialize(met_blocks(_all([*settled, state]), kind, cosine, block_rows), "vector-links")
+    release(*written)
     counts = met.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = classes.join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     judged = named.join(least, "root").join(counts, "id", "left").select("label", "embedding", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     judged = materialize(judged, "vector-groups")
-    release(met)
+    release(met, classes)
     joined = some.join(judged, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
