@@ -24,7 +24,7 @@ def run(spark, sf_dir, name):
     return rows(entry.queries()[name](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", ["op1_maxscore_topk", "op10_preference_pairs"])
+@pytest.mark.parametrize("name", ["op1_maxscore_topk", "op10_preference_pairs", "op11_spherical_neardups", "op12_four_russians_repair"])
 def test_same_as_sql(spark, sf_dir, duck, name):
     want = duck.sql(entry.oracle_sql()[name])
     got = run(spark, sf_dir, name)
