@@ -1,15 +1,17 @@
 """Exact top-k search by MaxScore over dense integer vectors.
 
-Every component is a term. For a query with weight q on a term, a row's weight x is taken from the shard's least value of
-the term if q is positive, and from its greatest if q is negative: q * (x - edge) is then never negative, and the sum of
-q * edge is the same for every row. A term's bound is |q| times the shard's range of the term. The terms with the smallest
-bounds that together cannot lift a row past the threshold are non-essential. The postings of the essential terms are
-traversed in full; rows whose partial score and remaining bounds still compete are probed in the other terms, the
-largest bounds first, and dropped as soon as they fall behind.
-
-Shards stay where they are, and blocks of queries, which are far smaller, travel to each of them. A shard first scores a few
-of its rows for all queries of a block in one product, which gives each query a threshold; the essential terms of all queries
-are traversed in one product too. A shard gives each query's k best, and these are merged.
+Every component is a term. Rows of a shard are ordered by likeness and cut into blocks, each with the least and the greatest
+weight of every term in it. For a query with weight q on a term, q times the weight is taken from its least value in the
+block, which makes contributions non-negative as MaxScore needs; a term's bound is |q| times the block's range of the term.
+A few rows of the shard, scored first for all queries, give each query a threshold. A block whose bounds, all together, do
+not lift a row to the threshold of a query is skipped for it. The terms of least bounds that together cannot lift a row past
+it are non-essential: the others, the essential ones, are traversed in one product for the queries that compete, and where
+few rows still compete after them, these alone are probed in the rest; where many do, a second product is cheaper than
+probes. Bounds of rows that differ in all terms are loose, and then nothing is left out: a product of everything is tried
+first in each group of queries as soon as probing did not pay.
+
+Shards stay where they are, and blocks of queries, which are far smaller, travel to each of them. A shard gives each query
+its k best, and these are merged.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ QUERY_EVERY = 20
 #: Rows of a shard and queries of a block: what one task holds.
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
-#: Rows that are scored first, in all terms, for a threshold; terms probed between two prunings; queries traversed together.
-SEED_ROWS = 1024
-PROBE_TERMS = 8
-GROUP_QUERIES = 64
-
-HITS = "query_id long, vec_id long, score long"
+#: Of how many rows one is scored first, in all terms, for a threshold; rows of a block of likes, and rows that it is dealt by.
+SEED_EVERY = 4
+LIKE_ROWS = 128
+PIVOTS = 128
+#: Terms are split where the rest still competes with at most this share of the rows; a product costs less than more probes.
+WORTH_PROBING = 1 / 16
+SLACK = 1e-9
+
+HITS = "query_no long, query_id long, vec_id long, score long"
 BLOCK = "block long, ids binary, width int, weights binary"
 
 
@@ -47,83 +52,117 @@ def exact_type(most_query: int, most_row: int, width: int):
     return np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
 
 
+def _chain(rows):
+    """Rows in an order in which like ones follow each other: each time the one most like the last."""
+    import numpy as np
+
+    near, order = rows @ rows.T, [0]
+    left = np.ones(len(rows), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, near[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return rows[order]
+
+
 class Shard:
-    """Postings of one shard: for each term the weights of all rows, which dense vectors make plain arrays."""
+    """Postings of one shard in blocks of like rows, with the bounds of each block."""
 
     def __init__(self, ids, rows, kind):
         import numpy as np
 
         order = np.argsort(ids, kind="stable")
-        self.ids, self.kind = ids[order], kind
-        self.postings = np.ascontiguousarray(rows[order].T.astype(kind))
-        self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
+        seeds = order[::SEED_EVERY]
+        rest = np.delete(order, np.s_[::SEED_EVERY])
+        if len(rest):
+            pivots = _chain(rows[seeds[:: max(1, len(seeds) // PIVOTS)][:PIVOTS]].astype(np.float32))
+            near = rows[rest].astype(np.float32) @ pivots.T
+            rest = rest[np.lexsort((near.max(axis=1), near.argmax(axis=1)))]
+        order = np.concatenate([seeds, rest])
+        self.ids, self.kind, self.n_seeds = ids[order], kind, len(seeds)
+        self.rows = np.ascontiguousarray(rows[order].astype(kind))
+        self.spans = [(at, min(at + LIKE_ROWS, len(order))) for at in range(len(seeds), len(order), LIKE_ROWS)]
+        self.low, self.high = (np.array([f(self.rows[a:b], axis=0) for a, b in self.spans], kind).reshape(len(self.spans), -1) for f in (np.min, np.max))
+        self.middle = (self.low.astype(np.float64) + self.high) / 2
+        self.reach = np.array([np.sqrt(((self.rows[a:b] - m) ** 2).sum(axis=1).max()) for (a, b), m in zip(self.spans, self.middle, strict=True)])
+        #: Pairs of query and row: in all, skipped by blocks, left out after essential terms, and probed.
+        self.pairs = {"all": 0, "skipped": 0, "pruned": 0, "probed": 0}
 
     def top(self, query_ids, queries, k: int):
         """For each query the rows and scores of its k best, itself left out: a list of (ids, scores)."""
         import numpy as np
 
-        out = []
-        for at in range(0, len(query_ids), GROUP_QUERIES):
-            out += self._top(query_ids[at : at + GROUP_QUERIES], queries[at : at + GROUP_QUERIES].astype(self.kind), k)
-        return [(self.ids[rows], scores.astype(np.int64)) for rows, scores in out]
-
-    def _top(self, query_ids, queries, k: int):
-        import numpy as np
-
-        n = len(self.ids)
-        seed = min(n, max(SEED_ROWS, k + 1))
-        first = queries @ self.postings[:, :seed]
-        best = [self._best(np.arange(seed)[self.ids[:seed] != q], first[i][self.ids[:seed] != q], k) for i, q in enumerate(query_ids)]
-        if seed == n:
-            return best
-        if any(len(rows) < k for rows, _ in best):  # a query's own id many times among the seed: no threshold for it
-            rest = queries @ self.postings[:, seed:]
-            rows = np.arange(seed, n)
-            return [self._merged(best[i], rows[self.ids[seed:] != q], rest[i][self.ids[seed:] != q], k) for i, q in enumerate(query_ids)]
-        edge = np.where(queries > 0, self.low, self.high)
-        bounds = np.abs(queries) * (self.high - self.low)
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        ranked = np.take_along_axis(bounds, order, axis=1)
-        # after[:, i]: what the terms from the i-th on add at most; a row in none before them scores base + after at most.
-        after = np.concatenate([np.cumsum(ranked[:, ::-1], axis=1)[:, ::-1], np.zeros((len(queries), 1), self.kind)], axis=1)
-        base = (queries * edge).sum(axis=1)
-        threshold = np.array([scores[-1] for _, scores in best], self.kind)
-        hopeless = base[:, None] + after < threshold[:, None]
-        split = np.where(hopeless.any(axis=1), hopeless.argmax(axis=1), order.shape[1])
-        essential = np.zeros(queries.shape, bool)
-        np.put_along_axis(essential, order, np.arange(order.shape[1])[None, :] < split[:, None], axis=1)
-        traversed = np.where(essential, queries, 0)
-        scores = traversed @ self.postings[:, seed:]
-        scores += (base - (traversed * edge).sum(axis=1))[:, None]
-        for i, q in enumerate(query_ids):
-            rows = np.nonzero((scores[i] + after[i, split[i]] >= threshold[i]) & (self.ids[seed:] != q))[0]
-            best[i] = self._merged(best[i], *self._probe(queries[i], order[i], edge[i], after[i], split[i], rows + seed, scores[i][rows], threshold[i]), k)
-        return best
-
-    def _probe(self, query, order, edge, after, at, rows, scores, threshold):
-        """Exact scores of those rows that reach the threshold, also by a tie; scores: those of the terms order[:at]."""
-        while at < len(order) and len(rows):
-            step = order[at : at + PROBE_TERMS]
-            scores = scores + query[step] @ (self.postings[step[:, None], rows[None, :]] - edge[step, None])
-            at = min(at + PROBE_TERMS, len(order))
-            keep = scores + after[at] >= threshold
-            rows, scores = rows[keep], scores[keep]
-        return rows, scores
-
-    def _merged(self, best, rows, scores, k):
+        queries = np.ascontiguousarray(queries.astype(self.kind))
+        self.pairs["all"] += len(queries) * len(self.ids)
+        first = queries @ self.rows[: self.n_seeds].T
+        own = query_ids[:, None] == self.ids[None, : self.n_seeds]
+        least = np.iinfo(np.int64).min if self.kind is np.int64 else -np.inf
+        threshold = np.full(len(queries), least, self.kind)
+        if self.n_seeds > k:
+            others = np.where(own, self.kind(least), first)
+            threshold = np.partition(others, self.n_seeds - k, axis=1)[:, self.n_seeds - k]
+        found = [self._reached(first, np.arange(len(queries)), 0, threshold, ~own)]
+        # What a block's rows can come to at best, query by query: by the bounds of all terms, and by their distance from a
+        # middle row, which says more where rows are alike in many terms at once. Rounding is far below the slack.
+        wide = queries.astype(np.float64)
+        most = np.maximum(wide, 0) @ self.high.T.astype(np.float64) + np.minimum(wide, 0) @ self.low.T.astype(np.float64)
+        around = wide @ self.middle.T + np.sqrt((wide**2).sum(axis=1))[:, None] * self.reach[None, :]
+        most = np.minimum(most, around) * (1 + SLACK * np.sign(most)) + SLACK
+        split = self.kind is not np.int64 and bool((threshold > least).all())
+        for i, (a, b) in enumerate(self.spans):
+            asking = np.nonzero(most[:, i] >= threshold)[0]
+            self.pairs["skipped"] += (len(queries) - len(asking)) * (b - a)
+            if len(asking):
+                split, hits = self._block(i, queries, asking, threshold, split)
+                found.append(hits)
+        q, rows, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        other = self.ids[rows] != query_ids[q]
+        q, rows, scores = q[other], rows[other], scores[other]
+        order = np.lexsort((self.ids[rows], -scores, q))
+        q, rows, scores = q[order], rows[order], scores[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, rows, scores = q[rank < k], rows[rank < k], scores[rank < k].astype(np.int64)
+        ends = np.searchsorted(q, np.arange(1, len(queries)))
+        return list(zip(np.split(self.ids[rows], ends), np.split(scores, ends), strict=True))
+
+    def _reached(self, scores, asking, start, threshold, also=True):
         import numpy as np
 
-        return self._best(np.concatenate([best[0], rows]), np.concatenate([best[1], scores]), k)
+        at = np.flatnonzero((scores >= threshold[asking][:, None]) & also)
+        i, j = np.divmod(at, scores.shape[1])
+        return asking[i], j + start, scores.reshape(-1)[at]
 
-    def _best(self, rows, scores, k):
-        """The k rows of the highest scores, ties to the smaller id."""
+    def _block(self, i, queries, asking, threshold, split: bool):
+        """Whether to split terms in the next block too, and the hits of the block."""
         import numpy as np
 
-        if len(rows) > 4 * k > 0:  # all that reach the k-th score, then those in order
-            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            rows, scores = rows[keep], scores[keep]
-        order = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[order], scores[order]
+        a, b = self.spans[i]
+        rows, q = self.rows[a:b], queries[asking]
+        if not split:
+            return False, self._reached(q @ rows.T, asking, a, threshold)
+        bounds = np.abs(q) * (self.high[i] - self.low[i])
+        # One order of terms for the queries that compete; what the terms behind a place add at most, query by query.
+        order = np.argsort(-bounds.sum(axis=0), kind="stable")
+        after = np.cumsum(bounds[:, order[::-1]], axis=1)[:, ::-1]
+        edge = np.where(q > 0, self.low[i], self.high[i]) * q
+        slack = threshold[asking] - edge.sum(axis=1)
+        # Non-essential: together they leave every query short of its threshold.
+        n_essential = int((after >= slack[:, None]).any(axis=0).sum())
+        if n_essential == len(order):
+            n_essential = len(order) // 2  # all are essential; half of them may tell most rows apart
+        e, rest = order[:n_essential], order[n_essential:]
+        scores = q[:, e] @ rows[:, e].T
+        short = threshold[asking] - (edge[:, rest].sum(axis=1) + (after[:, n_essential] if len(rest) else 0))
+        competing = scores >= short[:, None]
+        share = competing.mean()
+        if share > WORTH_PROBING:
+            return share < 0.5, self._reached(scores + q[:, rest] @ rows[:, rest].T, asking, a, threshold)
+        x, y = np.nonzero(competing)
+        self.pairs["pruned"] += competing.size - len(x)
+        self.pairs["probed"] += len(x)
+        full = scores[x, y] + (q[x][:, rest] * rows[y][:, rest]).sum(axis=1)
+        keep = full >= threshold[asking][x]
+        return True, (asking[x[keep]], y[keep] + a, full[keep])
 
 
 def blocks(vectors: DataFrame, parts: int, scale: int = SCALE) -> DataFrame:
@@ -173,10 +212,12 @@ def unpack(ids: bytes, width: int, weights: bytes):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """The k highest integer inner products of each query with all rows but its own vec_id; ties to the smaller vec_id.
+    """The k highest integer inner products of each query with all rows but those of its own vec_id; ties to the smaller
+    vec_id.
 
     Both sides have (vec_id, embedding). Gives query_id, rank from 1, vec_id, score; fewer than k where fewer take part.
-    Repeated rows compete each for itself. Empty tables give no rows. Scores have to fit a long.
+    Repeated rows compete each for itself, and a query that is there twice is answered twice, each time in full. Empty tables
+    give no rows. Scores have to fit a long.
     """
     # One count of both sides; nulls are left out by the blocks.
     n = queries.select(F.lit(1).alias("asked")).unionByName(vectors.select(F.lit(0).alias("asked"))).agg(F.count("*").alias("all"), F.sum("asked").alias("asked")).first()
@@ -184,24 +225,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     n_shards = max(1, math.ceil((n["all"] - (n["asked"] or 0)) / shard_rows))
     # A copy of each block of queries goes to every shard. Where a shard's row lies, it comes first and the blocks stream by.
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))
-    asked = blocks(queries, n_asked, scale).select(every.alias("block"), F.lit(1).alias("asked"), "ids", "width", "weights")
-    shards = blocks(vectors, n_shards, scale).select("block", F.lit(0).alias("asked"), "ids", "width", "weights")
-    meetings = shards.unionByName(asked).repartition(n_shards, "block").sortWithinPartitions("block", "asked")
+    asked = blocks(queries, n_asked, scale).select(every.alias("shard"), F.lit(1).alias("asked"), "block", "ids", "width", "weights")
+    shards = blocks(vectors, n_shards, scale).select(F.col("block").alias("shard"), F.lit(0).alias("asked"), "block", "ids", "width", "weights")
+    meetings = shards.unionByName(asked).repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "asked")
     schema = T.StructType.fromDDL(HITS)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         import numpy as np
 
-        block, weights, held = None, None, {}
+        shard, weights, held = None, None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if not row["asked"]:
-                    block, held = row["block"], {}
+                    shard, held = row["shard"], {}
                     ids, weights = unpack(row["ids"], row["width"], row["weights"])
                     continue
-                if row["block"] != block:
+                if row["shard"] != shard:
                     continue  # this shard has no vectors that take part
                 q_ids, q_weights = unpack(row["ids"], row["width"], row["weights"])
                 width = min(weights.shape[1], q_weights.shape[1])
@@ -210,10 +251,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
                 if how not in held:
                     held = {how: Shard(ids, weights[:, :width], how[1])}
                 hits = held[how].top(q_ids, q_weights[:, :width], k)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q_ids, [len(h[0]) for h in hits]), "vec_id": np.concatenate([h[0] for h in hits]), "score": np.concatenate([h[1] for h in hits])}, schema=arrow)
+                q = np.repeat(np.arange(len(q_ids)), [len(h[0]) for h in hits])
+                # A block's number and a place in it name a query.
+                yield pa.RecordBatch.from_pydict({"query_no": (row["block"] << 32) + q, "query_id": q_ids[q], "vec_id": np.concatenate([h[0] for h in hits]), "score": np.concatenate([h[1] for h in hits])}, schema=arrow)
 
     hits = meetings.mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -224,13 +267,13 @@ def op1_maxscore_topk(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  SELECT q.no, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 20
 """

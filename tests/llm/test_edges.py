@@ -84,6 +84,53 @@ def test_shards_merge(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_topk_of_a_query_that_is_there_twice(spark):
+    """Each of its rows is answered in full; neither is a candidate of the other."""
+    draw = np.random.default_rng(12)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(60)] + [(20, draw.normal(size=4).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in maxscore.top_k(df, df.where("vec_id % 20 = 0"), k=7, shard_rows=16, block_queries=2).collect())
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            scores = sorted((-int(np.floor(64 * np.array(v)) @ np.floor(64 * np.array(w))), i) for i, w in rows if i != q)[:7]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
+
+
+def test_shard_skips_and_prunes():
+    """Blocks of like rows are skipped, terms that hardly count are left out, and the answers stay those of the product."""
+    draw = np.random.default_rng(13)
+    centres = draw.normal(size=(20, 32))
+    likes = centres[draw.integers(0, 20, 4000)] + draw.normal(size=(4000, 32)) * 0.05
+    few = draw.normal(size=(4000, 32)) * np.r_[np.ones(4), np.full(28, 0.02)]
+    for rows, told in ((likes, "skipped"), (few, "pruned")):
+        rows, ids = np.floor(20 * rows).astype(np.int64), draw.permutation(4000)
+        shard = maxscore.Shard(ids, rows, np.float32)
+        got = shard.top(ids[:50], rows[:50], 10)
+        assert shard.pairs[told] > 0 and shard.pairs["skipped"] + shard.pairs["pruned"] > 0.2 * shard.pairs["all"]
+        for q, own, (got_ids, scores) in zip(rows, ids, got, strict=False):
+            want = sorted(((-int(s), int(i)) for s, i in zip(rows @ q, ids) if i != own))[:10]
+            assert [(-int(s), int(i)) for s, i in zip(scores, got_ids)] == want
+
+
+def test_media_are_fetched_by_size(spark):
+    """However many places there are, few payloads are held at a time; large ones are read alone."""
+    index = media.store(spark.createDataFrame([("x" * (1000 + i),) for i in range(40)] + [("y" * 300_000,)], "text string"))
+    places = index.coalesce(1)
+    got = {r["digest"]: r["media"] for r in media.fetched(places, fetch_bytes=2000).collect()}
+    assert len(got) == 41 and all(len(got[r["digest"]]) == r["size"] for r in index.collect())
+
+
+def test_planes_of_many_empty_texts(spark, tmp_path):
+    """Documents count in a file's size, also those without text."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'' AS text")
+    manifest = planes.write_planes(docs, f"file://{tmp_path}/planes", file_bytes=planes.DOC_BYTES * 1000)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 3 and max(sizes) < 2000
+    assert planes.read_planes(manifest).agg({"n_tokens": "sum"}).first()[0] == 3000
+
+
 def test_golay_keys():
     """Words that differ in one bit share a key; words have one or six keys."""
     rng = random.Random(3)
