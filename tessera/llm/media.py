@@ -15,11 +15,14 @@ import hashlib
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import filesystem, map_slices, materialize, qualified, read, shared_path
+from .common import filesystem, map_slices, materialize, qualified, read, shared_path, ship
 
 #: Bytes of a pack that one task reads at a time of dealing out.
 PACK_SHARE = 32 << 20
@@ -142,28 +145,41 @@ def store(docs: DataFrame, path: str | None = None) -> DataFrame:
     return materialize(one_each(placed), "media-digests")
 
 
-def fetched(places: DataFrame) -> DataFrame:
-    """(digest, media) of places(digest, pack, at, size): the stored bytes, read from the packs in their order."""
+#: Bytes of media that a task reads at a time; one that is larger is read alone.
+FETCH_BYTES = 16 << 20
 
-    def start():
-        def work(rows):
-            media, name, source = [], None, None
-            for pack, at, size in zip(rows["pack"], rows["at"], rows["size"], strict=True):
+
+def fetched(places: DataFrame, fetch_bytes: int = FETCH_BYTES) -> DataFrame:
+    """(digest, media) of places(digest, pack, at, size): the stored bytes, read from the packs in their order. By the sizes
+    that the index knows, a task holds fetch_bytes of them at a time, or one that is larger."""
+    ship(places.sparkSession)
+    schema = T.StructType.fromDDL("digest string, media binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        name, source = None, None
+        for batch in batches:
+            digests, media, held = [], [], 0
+            for digest, pack, at, size in zip(*(batch.column(c).to_pylist() for c in ("digest", "pack", "at", "size")), strict=True):
+                if digests and held + size > fetch_bytes:
+                    yield pa.RecordBatch.from_pydict({"digest": digests, "media": media}, schema=arrow)
+                    digests, media, held = [], [], 0
                 if pack != name:
                     if source is not None:
                         source.close()
                     files, inside = filesystem(pack)
                     name, source = pack, files.open_input_file(inside)
+                digests.append(digest)
                 media.append(source.read_at(size, at))
+                held += size
+            if digests:
+                yield pa.RecordBatch.from_pydict({"digest": digests, "media": media}, schema=arrow)
+        if source is not None:
             source.close()
-            return {"digest": rows["digest"], "media": media}
-
-        return work
 
     asked = places.select("digest", "pack", "at", "size")
-    # A slice's payloads are held at a time: as many as stay small, by the sizes that the index knows.
     spread = asked.repartition("pack", F.floor(F.col("at") / PACK_SHARE)).sortWithinPartitions("pack", "at")
-    return map_slices(spread, "digest string, media binary", start, 64)
+    return spread.mapInArrow(run, schema)
 
 
 def one_each(media: DataFrame) -> DataFrame:

@@ -26,8 +26,9 @@ from .wordbpe import ENCODE_BYTES, ENCODE_ROWS, encoder
 
 MAGIC = b"TPLANES1"
 BLOCK_IDS = 65_536
-#: Bytes of texts that a file is planned for.
+#: Bytes of texts that a file is planned for, and what a document counts besides, for its places in a file's lists.
 FILE_BYTES = 16 << 20
+DOC_BYTES = 64
 
 MANIFEST = "file_no long, path string, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -149,7 +150,7 @@ def in_id_order(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     Rows with one doc_id are told apart by their texts, and equal rows by their places in the input, so that rows of one id
     can lie in several ranges. Equal rows have equal ids, so it does not matter which of them is where.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + DOC_BYTES)).first()[0] or 0
     files = max(1, math.ceil(size / file_bytes))
     keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id())
     return keyed.repartitionByRange(files, "doc_id", "_text", "_at").sortWithinPartitions("doc_id", "_text", "_at").drop("_text", "_at")
