@@ -14,23 +14,60 @@ FEW = 10_000
 BINS = 1024
 
 
+def _interpolated(lo: float, hi: float, share: float) -> float:
+    return lo if lo == hi or share == 0 else lo + (hi - lo) * share
+
+
+#: Logarithms of the least and of the largest double are inside.
+LOGS = (-745.2, 709.8)
+
+
+def _bin(x: Column, a: Column, b: Column, stuck: Column, bins: int) -> Column:
+    """The bin of x among those that [a, b], a < b, is cut into; a and b lie in different ones.
+
+    Ranges of one sign and of many magnitudes are cut by magnitude, others evenly; where that was of no use (stuck), ranges
+    around zero are cut by sign and magnitude. Bins are evenly wide also where b - a is beyond the largest double; they are at
+    least as wide as the least double, and then at most twice as many.
+    """
+    inf, least = float("inf"), F.lit(5e-324)
+    near = F.least(F.floor((x - a) / F.greatest((b - a) / bins, least)), F.lit(2 * bins))
+    far = F.least(F.floor((x / 2 - a / 2) / F.greatest((b / 2 - a / 2) / bins, least)), F.lit(bins - 1))
+    low, high = F.least(F.abs(a), F.abs(b)), F.greatest(F.abs(a), F.abs(b))
+    share = (F.log(F.abs(x)) - F.log(low)) / (F.log(high) - F.log(low))
+    step = F.least(F.floor(share * bins), F.lit(bins - 1))
+    size = F.floor((F.log(F.abs(x)) - LOGS[0]) / (LOGS[1] - LOGS[0]) * bins) + 1
+    return (
+        F.when((a > 0) & (high > 4 * low), step)
+        .when((b < 0) & (high > 4 * low), -step)
+        .when(stuck & (a <= 0) & (b >= 0), F.when(x == 0, 0).otherwise(F.signum(x).cast("long") * size))
+        .when(b - a < inf, near)
+        .otherwise(far)
+    )
+
+
 def quantiles(df: DataFrame, value: str, probabilities: list[float], few: int = FEW, bins: int = BINS) -> list[float] | None:
     """Exact quantiles of a whole column, linearly interpolated; null and NaN are left out; None for an empty column.
 
     Each pass counts a histogram per sought rank, with partial counts in every task, and narrows the rank's range to one
-    bin. When a range holds few values, those are sorted. No task ever holds the column, whatever its size.
+    bin, whose least and greatest value are the next range. When a range holds few values, those are sorted. No task ever
+    holds the column, whatever its size. Infinite values are counted at the ends, and the ranges are of the others; a
+    quantile between an infinite and another value is infinite, and NaN between the two infinities.
     """
     col = F.col(value).cast("double")
-    rows = df.where(col.isNotNull() & ~F.isnan(col)).select(col.alias("x"))
-    low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    inf = float("inf")
+    all_rows = df.where(col.isNotNull() & ~F.isnan(col)).select(col.alias("x"))
+    rows = all_rows.where(F.abs("x") < inf)
+    inside = F.when(F.abs("x") < inf, F.col("x"))
+    low, high, n, minus, plus = all_rows.agg(F.min(inside), F.max(inside), F.count("*"), F.count_if(F.col("x") == -inf), F.count_if(F.col("x") == inf)).first()
     if not n:
         return None
     sought = sorted({r for p in probabilities for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
-    found: dict[int, float] = {}
-    open_ranges = {(low, high): (0, n, sought)}  # range -> values below it, values inside, ranks inside
+    found: dict[int, float] = {r: -inf if r < minus else inf for r in sought if r < minus or r >= n - plus}
+    # range -> values below it, values inside, ranks inside, whether the last histogram told little
+    open_ranges = {(low, high): (minus, n - minus - plus, [r for r in sought if r not in found], False)} if len(found) < len(sought) else {}
     while open_ranges:
         following = {}
-        for (a, b), (below, inside, ranks) in open_ranges.items():
+        for (a, b), (below, inside, ranks, stuck) in open_ranges.items():
             part = rows.where(F.col("x").between(a, b))
             if a == b:
                 found |= dict.fromkeys(ranks, a)
@@ -38,23 +75,33 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], few: int =
                 values = [r[0] for r in part.sort("x").collect()]
                 found |= {r: values[r - below] for r in ranks}
             else:
-                width = (b - a) / bins
-                bin_of = F.least(F.floor((F.col("x") - a) / width), F.lit(bins - 1))
+                bin_of = _bin(F.col("x"), F.lit(a), F.lit(b), F.lit(stuck), bins)
                 got = sorted((r["bin"], r["n"], r["lo"], r["hi"]) for r in part.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+                if len(got) == 1:  # least and greatest lie in different bins, so this cannot be
+                    raise RuntimeError(f"a histogram of {value} does not narrow {a!r} to {b!r}")
                 at = below
                 for _, count, lo, hi in got:
                     if mine := [r for r in ranks if at <= r < at + count]:
-                        following[(lo, hi)] = (at, count, mine)
+                        following[(lo, hi)] = (at, count, mine, 2 * count > inside)
                     at += count
         open_ranges = following
     out = []
     for p in probabilities:
         rank = p * (n - 1)
-        lo, hi = found[int(np.floor(rank))], found[int(np.ceil(rank))]
-        out.append(lo + (hi - lo) * (rank - np.floor(rank)))
+        out.append(_interpolated(found[int(np.floor(rank))], found[int(np.ceil(rank))], rank - np.floor(rank)))
     return out
 
 
+#: Open ranges that are sent to every task; more meet the values by group.
+SMALL_RANGES = 20_000
+
+
+def _small(ranges: DataFrame) -> DataFrame:
+    """A written table of ranges, marked for sending to all tasks if its counted size is small: groups are few, then, and a
+    join by group would be a crowded one."""
+    return F.broadcast(ranges) if ranges.count() <= SMALL_RANGES else ranges
+
+
 def group_quantiles(df: DataFrame, group: str, value: str, probabilities: list[float], few: int = 1000, bins: int = BINS, most_rounds: int = 80) -> DataFrame:
     """(group, q): exact quantiles per group as an array, linearly interpolated; groups without values are left out.
 
@@ -63,41 +110,46 @@ def group_quantiles(df: DataFrame, group: str, value: str, probabilities: list[f
     sorted. So neither a group's values nor its distinct values meet in one task, whatever their number.
     """
     col = F.col(value).cast("double")
+    inf = float("inf")
     rows = df.where(col.isNotNull() & ~F.isnan(col)).select(F.col(group).alias("g"), col.alias("x"))
-    size = rows.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
+    inside = F.when(F.abs("x") < inf, F.col("x"))
+    size = rows.groupBy("g").agg(F.min(inside).alias("a"), F.max(inside).alias("b"), F.count("*").alias("n"), F.count_if(F.col("x") == -inf).alias("minus"), F.count_if(F.col("x") == inf).alias("plus"))
     at = [F.col("n").cast("double") * p - p for p in probabilities]  # p * (n - 1)
     ranks = F.array_distinct(F.array(*(f(r).cast("long") for r in at for f in (F.floor, F.ceil))))
     size = materialize(size, "groups")
-    open_ranges = size.select("g", "a", "b", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.explode(ranks).alias("rank"))
-    found = None
+    asked = size.withColumn("rank", F.explode(ranks))
+    outside = (F.col("rank") < F.col("minus")) | (F.col("rank") >= F.col("n") - F.col("plus"))
+    found = asked.where(outside).select("g", "rank", F.when(F.col("rank") < F.col("minus"), -inf).otherwise(inf).alias("x"))
+    open_ranges = asked.where(~outside).select("g", "a", "b", F.col("minus").alias("below"), (F.col("n") - F.col("minus") - F.col("plus")).alias("inside"), "rank", F.lit(False).alias("stuck"))
+    rows = rows.where(F.abs("x") < inf)
     for _ in range(most_rounds):
         open_ranges = materialize(open_ranges, "quantile-ranges")
         settled = open_ranges.where((F.col("a") == F.col("b")) | (F.col("inside") <= few))
-        spans = settled.select("g", "a", "b", "below").distinct()
-        inside = F.col("r.g").eqNullSafe(F.col("s.g")) & F.col("r.x").between(F.col("s.a"), F.col("s.b"))
+        spans = materialize(settled.select("g", "a", "b", "below").distinct(), "quantile-spans")
+        within = F.col("r.g").eqNullSafe(F.col("s.g")) & F.col("r.x").between(F.col("s.a"), F.col("s.b"))
         # Values of a settled range, each once with its number: few, or one value that occurs often.
-        values = rows.alias("r").join(spans.alias("s"), inside).groupBy("s.g", "s.a", "s.b", "s.below", "r.x").agg(F.count("*").alias("k"))
+        values = rows.alias("r").join(_small(spans).alias("s"), within).groupBy("s.g", "s.a", "s.b", "s.below", "r.x").agg(F.count("*").alias("k"))
         upto = F.sum("k").over(Window.partitionBy("g", "a", "b").orderBy("x")) + F.col("below")
         placed = values.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("k"))
         hit = placed.alias("v").join(settled.alias("t"), F.col("v.g").eqNullSafe(F.col("t.g")) & (F.col("v.a") == F.col("t.a")) & (F.col("v.b") == F.col("t.b")) & (F.col("t.rank") >= F.col("v._from")) & (F.col("t.rank") < F.col("v._to")))
-        done = materialize(hit.select("t.g", "t.rank", "v.x"), "quantile-ranks")
-        found = done if found is None else found.unionByName(done)
+        found = found.unionByName(materialize(hit.select("t.g", "t.rank", "v.x"), "quantile-ranks"))
         left = open_ranges.where((F.col("a") != F.col("b")) & (F.col("inside") > few))
         if left.isEmpty():
             break
-        wide = left.select("g", "a", "b", "below").distinct()
-        bin_of = F.least(F.floor((F.col("r.x") - F.col("s.a")) / (F.col("s.b") - F.col("s.a")) * bins), F.lit(bins - 1))
-        counts = rows.alias("r").join(wide.alias("s"), inside).groupBy("s.g", "s.a", "s.b", "s.below", bin_of.alias("bin")).agg(F.count("*").alias("k"), F.min("r.x").alias("lo"), F.max("r.x").alias("hi"))
+        wide = materialize(left.select("g", "a", "b", "below", "stuck").distinct(), "quantile-spans")
+        bin_of = _bin(F.col("r.x"), F.col("s.a"), F.col("s.b"), F.col("s.stuck"), bins)
+        counts = rows.alias("r").join(_small(wide).alias("s"), within).groupBy("s.g", "s.a", "s.b", "s.below", bin_of.alias("bin")).agg(F.count("*").alias("k"), F.min("r.x").alias("lo"), F.max("r.x").alias("hi"))
         to = F.sum("k").over(Window.partitionBy("g", "a", "b").orderBy("bin")) + F.col("below")
         placed = counts.withColumn("_to", to).withColumn("_from", F.col("_to") - F.col("k"))
         on = F.col("v.g").eqNullSafe(F.col("t.g")) & (F.col("v.a") == F.col("t.a")) & (F.col("v.b") == F.col("t.b")) & (F.col("t.rank") >= F.col("v._from")) & (F.col("t.rank") < F.col("v._to"))
-        open_ranges = placed.alias("v").join(left.alias("t"), on).select("t.g", F.col("v.lo").alias("a"), F.col("v.hi").alias("b"), F.col("v._from").alias("below"), F.col("v.k").alias("inside"), "t.rank")
+        open_ranges = placed.alias("v").join(left.alias("t"), on).select("t.g", F.col("v.lo").alias("a"), F.col("v.hi").alias("b"), F.col("v._from").alias("below"), F.col("v.k").alias("inside"), "t.rank", (2 * F.col("v.k") > F.col("t.inside")).alias("stuck"))
     else:
         raise RuntimeError(f"quantiles did not settle in {most_rounds} rounds")
     known = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
-    joined = size.join(known, size["g"].eqNullSafe(known["g"])).select(size["g"].alias(group), "n", "m")
+    joined = size.alias("s").join(known.alias("k"), F.col("s.g").eqNullSafe(F.col("k.g"))).select(F.col("s.g").alias(group), "n", "m")
     lo, hi = ([F.element_at("m", f(r).cast("long")) for r in at] for f in (F.floor, F.ceil))
-    return joined.select(group, F.array(*(x + (y - x) * (r - F.floor(r)) for x, y, r in zip(lo, hi, at, strict=True))).alias("q"))
+    between = [F.when((x == y) | (r == F.floor(r)), x).otherwise(x + (y - x) * (r - F.floor(r))) for x, y, r in zip(lo, hi, at, strict=True)]
+    return joined.select(group, F.array(*between).alias("q"))
 
 
 def robust_range(df: DataFrame, value: str, group: str | None = None, k: float = 3.0) -> DataFrame:

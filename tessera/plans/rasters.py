@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import coverage as C
+from ..operators import tiles
 from . import inputs as I
 from .registry import query
 
@@ -19,8 +20,8 @@ def footprints(spark, sf_dir):
     return I.read(spark, sf_dir, "part").select(k.alias("image_id"), ((k * 37) % (WIDTH + 20) - 10).cast("int").alias("x"), ((k * 53) % (HEIGHT + 20) - 10).cast("int").alias("y"), (F.col("p_size") % 9).alias("w"), ((F.col("p_size") * 3) % 8).alias("h"), "p_brand")
 
 
-def cells(spark, sf_dir):
-    return C.cells(footprints(spark, sf_dir), WIDTH, HEIGHT, ("image_id", "p_brand")).select("image_id", "p_brand", F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"))
+def tiled(spark, sf_dir):
+    return tiles.tiled(footprints(spark, sf_dir), WIDTH, HEIGHT, ("image_id", "p_brand"))
 
 
 MAIN = "p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')"
@@ -28,12 +29,15 @@ MAIN = "p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')"
 
 @query("coverage_ratio", f"WITH {CELLS} SELECT p_brand, count(DISTINCT (cx, cy)) AS covered_cells, round(count(DISTINCT (cx, cy)) / {WIDTH * HEIGHT}.0, 6) AS coverage_ratio FROM k GROUP BY p_brand")
 def coverage_ratio(spark, sf_dir):
-    return cells(spark, sf_dir).select("p_brand", "cx", "cy").distinct().groupBy("p_brand").agg(F.count("*").alias("covered_cells")).withColumn("coverage_ratio", F.round(F.col("covered_cells") / (WIDTH * HEIGHT), 6))
+    united = tiles.union(tiled(spark, sf_dir), ("p_brand",))
+    return tiles.coverage(united, WIDTH, HEIGHT, ("p_brand",)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
 
 
 @query("coverage_union", f"WITH {CELLS} SELECT cx, cy, max(image_id) AS value FROM k GROUP BY cx, cy")
 def coverage_union(spark, sf_dir):
-    return C.union_max(cells(spark, sf_dir).withColumnRenamed("image_id", "value"), "value")
+    """The greatest value of each cell: of layers in falling order of value, each one's own cells."""
+    layers = tiled(spark, sf_dir).select(F.col("image_id").alias("value"), *tiles.TILE)
+    return tiles.cells_of(tiles.claims(layers, "value", WIDTH, HEIGHT, last=True), WIDTH, HEIGHT)
 
 
 @query(
@@ -41,15 +45,64 @@ def coverage_union(spark, sf_dir):
     f"WITH {CELLS}, free AS (SELECT * FROM k WHERE NOT ({MAIN}) AND (cx, cy) NOT IN (SELECT (cx, cy) FROM k WHERE {MAIN})) SELECT cx, cy, min(image_id) AS filler_no FROM free GROUP BY cx, cy",
 )
 def gap_fill(spark, sf_dir):
-    all_cells = cells(spark, sf_dir)
-    fillers = all_cells.where(f"NOT ({MAIN})").select("cx", "cy", F.col("image_id").alias("filler_no"))
-    return C.gap_fill(all_cells.where(MAIN), fillers).select("cx", "cy", "filler_no")
+    layers = tiled(spark, sf_dir)
+    fillers = layers.where(f"NOT ({MAIN})").select(F.col("image_id").alias("filler_no"), *tiles.TILE)
+    return tiles.cells_of(tiles.claims(fillers, "filler_no", WIDTH, HEIGHT, taken=tiles.union(layers.where(MAIN))), WIDTH, HEIGHT)
 
 
 @query("cell_owners", f"WITH {CELLS} SELECT cx, cy, max(image_id) AS owner FROM k GROUP BY cx, cy")
 def cell_owners(spark, sf_dir):
-    layers = cells(spark, sf_dir).select("cx", "cy", F.col("image_id").alias("owner"))
-    return C.owners(layers.withColumn("_o", F.col("owner")), "_o").select("cx", "cy", "owner")
+    layers = tiled(spark, sf_dir).select(F.col("image_id").alias("owner"), *tiles.TILE)
+    return tiles.cells_of(tiles.claims(layers, "owner", WIDTH, HEIGHT, last=True), WIDTH, HEIGHT)
+
+
+@query(
+    "seam_owners",
+    f"""WITH {FOOT}, c AS (SELECT image_id, greatest(x, 0) AS x0, greatest(y, 0) AS y0, least(x + w, {WIDTH}) AS x1, least(y + h, {HEIGHT}) AS y1 FROM f),
+    k AS (SELECT image_id, cx, cy, least(cx - x0 + 1, x1 - cx, cy - y0 + 1, y1 - cy) AS inside FROM c, range({WIDTH}) a(cx), range({HEIGHT}) b(cy) WHERE cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1)
+    SELECT cx, cy, arg_max(image_id, inside * 1000000 - image_id) AS image_id FROM k GROUP BY cx, cy""",
+)
+def seam_owners(spark, sf_dir):
+    """Each covered cell to the image whose border is farthest from it."""
+    return tiles.cells_of(tiles.seams(tiled(spark, sf_dir), WIDTH, HEIGHT), WIDTH, HEIGHT)
+
+
+#: A wall of 61 m x 42 m at 100 cells a metre, with footprints whose sides lie on a grid of UNIT cells.
+WALL_W, WALL_H, UNIT = 6100, 4200, 50
+ON_WALL = f"f AS (SELECT p_partkey AS image_id, p_brand, CAST((p_partkey * 37) % 122 - 3 AS INTEGER) AS x, CAST((p_partkey * 53) % 84 - 3 AS INTEGER) AS y, p_size % 9 + 4 AS w, (p_size * 3) % 8 + 4 AS h FROM part)"
+WALL_CELLS = f"{ON_WALL}, k AS (SELECT image_id, p_brand, cx, cy FROM f, range({WALL_W // UNIT}) a(cx), range({WALL_H // UNIT}) b(cy) WHERE cx >= x AND cx < x + w AND cy >= y AND cy < y + h)"
+
+
+def wall(spark, sf_dir):
+    k = F.col("p_partkey")
+    place = [((k * 37) % 122 - 3, "x"), ((k * 53) % 84 - 3, "y"), (F.col("p_size") % 9 + 4, "w"), ((F.col("p_size") * 3) % 8 + 4, "h")]
+    feet = I.read(spark, sf_dir, "part").select(k.alias("image_id"), "p_brand", *((v * UNIT).cast("int").alias(c) for v, c in place))
+    return tiles.tiled(feet, WALL_W, WALL_H, ("image_id", "p_brand"))
+
+
+@query("wall_coverage", f"WITH {WALL_CELLS} SELECT p_brand, count(DISTINCT (cx, cy)) * {UNIT**2} AS covered_cells, round(count(DISTINCT (cx, cy)) * {UNIT**2} / {WALL_W * WALL_H}.0, 6) AS coverage_ratio FROM k GROUP BY p_brand")
+def wall_coverage(spark, sf_dir):
+    united = tiles.union(wall(spark, sf_dir), ("p_brand",))
+    return tiles.coverage(united, WALL_W, WALL_H, ("p_brand",)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
+
+
+@query(
+    "wall_gap_fill",
+    f"WITH {WALL_CELLS}, free AS (SELECT * FROM k WHERE NOT ({MAIN}) AND (cx, cy) NOT IN (SELECT (cx, cy) FROM k WHERE {MAIN})), got AS (SELECT cx, cy, min(image_id) AS filler_no FROM free GROUP BY cx, cy) SELECT filler_no, count(*) * {UNIT**2} AS cells FROM got GROUP BY filler_no",
+)
+def wall_gap_fill(spark, sf_dir):
+    """How many cells each filler gets."""
+    layers = wall(spark, sf_dir)
+    fillers = layers.where(f"NOT ({MAIN})").select(F.col("image_id").alias("filler_no"), *tiles.TILE)
+    got = tiles.claims(fillers, "filler_no", WALL_W, WALL_H, taken=tiles.union(layers.where(MAIN)))
+    return got.groupBy("filler_no").agg(F.sum(F.bitmap_count("bits")).alias("cells"))
+
+
+@query("wall_owners", f"WITH {WALL_CELLS}, got AS (SELECT cx, cy, max(image_id) AS image_id FROM k GROUP BY cx, cy) SELECT image_id, count(*) * {UNIT**2} AS cells FROM got GROUP BY image_id")
+def wall_owners(spark, sf_dir):
+    """How many cells each image has that no later one covers."""
+    got = tiles.claims(wall(spark, sf_dir).select("image_id", *tiles.TILE), "image_id", WALL_W, WALL_H, last=True)
+    return got.groupBy("image_id").agg(F.sum(F.bitmap_count("bits")).alias("cells"))
 
 
 LETTER = "chr(CAST(65 + {i} % 26 AS INTEGER))"

@@ -52,20 +52,25 @@ DAY_S = 86_400
 def extract_increment(kept: DataFrame, path: str, key: tuple[str, ...] = ("stream_id", "frame_id"), at: str = "at_s") -> int:
     """Appends the frames that a table does not have yet, and returns how many: running it again adds nothing.
 
-    As a foreachBatch function this makes an at-least-once stream write each frame once. The table is partitioned by day, and
-    only the days of these frames are read to see what is there, so the cost does not grow with the table.
+    As a foreachBatch function this makes an at-least-once stream write each key once, whenever it comes again; of rows with
+    one key any one is written. The table is partitioned by day for its readers. To see what is there, only key columns are
+    read, and by their statistics only the row groups that may hold keys between the least and the greatest new one.
     """
     spark = kept.sparkSession
     new = kept.dropDuplicates(list(key)).withColumn("day", F.floor(F.col(at) / DAY_S).cast("long"))
-    days = [r["day"] for r in new.select("day").distinct().collect()]
     try:
-        there = spark.read.parquet(path)
-        there = there.where(F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() if None in days else F.lit(False))).select(*key)
+        there = spark.read.parquet(path).select(*key)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         there = None
-    new = new if there is None else new.join(there, list(key), "left_anti")
+    if there is not None:
+        bounds = kept.agg(*(f(c).alias(f"{n}_{c}") for c in key for n, f in (("lo", F.min), ("hi", F.max)))).first()
+        same = F.lit(True)
+        for c in key:
+            there = there.where(F.col(c).isNull() | F.col(c).between(F.lit(bounds[f"lo_{c}"]), F.lit(bounds[f"hi_{c}"])))
+            same = same & F.col(f"new.{c}").eqNullSafe(F.col(f"there.{c}"))
+        new = new.alias("new").join(there.alias("there"), same, "left_anti")
     n = new.count()
     if n:
         new.write.mode("append").partitionBy("day").parquet(path)
