@@ -93,22 +93,27 @@ def cycle_edges(edges: DataFrame, tree: DataFrame, a: str = "a", b: str = "b") -
 
 
 def composed(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """(node, to_reference): homographies to the root of a tree, composed level by level.
+    """(node, to_reference): homographies to the root of a tree of levels(), composed by pointer doubling.
 
-    edges(image_a, image_b, homography) map image_a to image_b.
+    edges(image_a, image_b, homography) map image_a to image_b. Every node knows its homography to an ancestor, first its
+    parent, and takes over the ancestor's own; so the way known doubles, and rounds are the logarithm of the depth. Nodes
+    that have reached the root wait for those that ask them.
     """
     oriented = edges.select(F.col("image_a").alias("node"), F.col("image_b").alias("parent"), F.col("homography").alias("h")).unionByName(
         edges.select(F.col("image_b").alias("node"), F.col("image_a").alias("parent"), linalg.inverse(F.col("homography")).alias("h"))
     )
-    steps = materialize(tree.join(oriented, ["node", "parent"], "left").groupBy("node", "level", "parent").agg(F.min("h").alias("h")), "steps")
     unit = F.array(*(F.lit(float(i in (0, 4, 8))) for i in range(9)))
-    done = steps.where("level = 0").select("node", unit.alias("to_reference"))
-    front = done
-    for level in range(1, (steps.agg(F.max("level")).first()[0] or 0) + 1):
-        up = front.select(F.col("node").alias("parent"), F.col("to_reference").alias("up"))
-        front = materialize(steps.where(F.col("level") == level).join(up, "parent").select("node", linalg.matmul(F.col("up"), F.col("h")).alias("to_reference")), "composed")
-        done = done.unionByName(front)
-    return done
+    steps = tree.join(oriented, ["node", "parent"], "left").groupBy("node", "level", "parent").agg(F.min("h").alias("h"))
+    now = materialize(steps.select("node", "level", F.col("parent").alias("up"), F.when(F.col("level") == 0, unit).otherwise(F.col("h")).alias("h")), "composed")
+    depth, way = now.agg(F.max("level")).first()[0] or 0, 1
+    while way < depth:
+        # Ways of length `way` are known, or to the root. A node's ancestor is one node; an ancestor of many is split.
+        far = now.where(F.col("level") > way).alias("n").join(now.alias("a"), F.col("n.up") == F.col("a.node"))
+        longer = far.select("n.node", "n.level", "a.up", linalg.matmul(F.col("a.h"), F.col("n.h")).alias("h"))
+        before, now = now, materialize(now.where(F.col("level") <= way).unionByName(longer), "composed")
+        release(before)
+        way *= 2
+    return now.select("node", F.col("h").alias("to_reference"))
 
 
 def drift(edges: DataFrame, cycles: DataFrame, homographies: DataFrame, sizes: DataFrame) -> DataFrame:

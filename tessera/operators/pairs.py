@@ -5,9 +5,6 @@ The catalog here is flat: image_id, flight_id, latitude, longitude, altitude_m,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,32 +185,19 @@ def select_pairs(catalog: DataFrame, k: int = 4, most_m: float = 8.0, view_deg:
 def degree_capped(pairs: DataFrame, cap: int, group: str | None = None, by: str = "xyz_m") -> DataFrame:
     """Nearest first, a pair stays while one of its images still has fewer than cap; ties by ids.
 
-    Whether a pair stays depends on all nearer ones of its component, so each group is walked in order by one task, which
-    holds counts of images only. Without a group, connected components are the groups.
+    An image's first cap pairs all stay, since it has fewer than cap before each of them; from then on it has cap. So a pair
+    stays exactly if it is among the first cap pairs of one of its images, and no order over all pairs has to be walked. The
+    first ones of an image are sought within each task before they meet, so an image of any number of pairs is no crowd.
+    With a group, images of different groups are different. Equal rows count each.
     """
-    from .graph import components
-
-    named = pairs
-    if group is None:
-        roots = components(pairs.select("image_a", "image_b"), "image_a", "image_b")
-        named = pairs.join(roots.select(F.col("node").alias("image_a"), F.col("root").alias("_group")), "image_a")
-    else:
-        named = pairs.withColumn("_group", F.col(group))
-    ordered = named.repartition("_group").sortWithinPartitions("_group", by, "image_a", "image_b")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, counts = object(), {}
-        for batch in batches:
-            stay = []
-            for g, a, b in zip(batch["_group"], batch["image_a"], batch["image_b"], strict=True):
-                g = g if g == g else None  # pandas has NaN for a null number
-                if g != group:
-                    group, counts = g, {}
-                kept = counts.get(a, 0) < cap or counts.get(b, 0) < cap
-                if kept:
-                    counts[a] = counts.get(a, 0) + 1
-                    counts[b] = counts.get(b, 0) + 1
-                stay.append(kept)
-            yield batch[stay]
-
-    return ordered.mapInPandas(walk, ordered.schema).drop("_group")
+    within = [] if group is None else [group]
+    place = [by, "image_a", "image_b"]
+    one = F.row_number().over(Window.partitionBy(*within, *place).orderBy(F.lit(0)))
+    rows = materialize(pairs.withColumn("_copy", one), "near-pairs")
+    ends = rows.select(*within, *place, "_copy", F.explode(F.array("image_a", "image_b")).alias("_image"))
+    first = Window.partitionBy(*within, "_image").orderBy(*place, "_copy")
+    kept = ends.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap).select(*within, *place, "_copy").distinct()
+    same = F.col("l._copy") == F.col("r._copy")
+    for c in (*within, *place):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return rows.alias("l").join(kept.alias("r"), same, "left_semi").select(*pairs.columns)
