@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import capture
+from ..streaming import capture, states
 from ..streaming import jobs as J
 from . import inputs as I
 from .registry import query
@@ -81,3 +81,51 @@ def sensor_join(spark, sf_dir):
 def tracked_events(spark, sf_dir):
     e = log(spark, sf_dir)
     return J.for_tracked(e, e.where("kind = 'accepted'"), ["archive_id"]).select("event_id", "archive_id")
+
+
+#: Silence of a worker, wait between sends, and wait of packets, in the sparse time of the events.
+SILENT_MS, RESEND_MS, WAIT_MS = 21_600_000, 14_400_000, 2_000_000
+
+
+@query(
+    "worker_changes",
+    f"""WITH h AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS worker_id, epoch_us(ts) // 1000 AS at_ms FROM events), n AS (SELECT max(epoch_us(ts) // 1000) AS until FROM events),
+    g AS (SELECT *, lag(at_ms) OVER w AS b, lead(at_ms) OVER w AS a FROM h WINDOW w AS (PARTITION BY worker_id ORDER BY at_ms))
+    SELECT worker_id, at_ms, true AS online FROM g WHERE b IS NULL OR at_ms - b > {SILENT_MS}
+    UNION ALL SELECT worker_id, at_ms + {SILENT_MS}, false FROM g, n WHERE (a IS NULL OR a - at_ms > {SILENT_MS}) AND at_ms + {SILENT_MS} < until""",
+)
+def worker_changes(spark, sf_dir):
+    """When workers come and go; tests hold the stream form against it."""
+    beats = I.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("worker_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return states.liveness_changes(beats, beats.agg(F.max("at_ms")).first()[0] or 0, SILENT_MS)
+
+
+@query(
+    "dispatch_sends",
+    f"""WITH t AS (SELECT user_id AS archive_id, event_type, epoch_us(ts) // 1000 AS at_ms FROM events), n AS (SELECT max(at_ms) AS until FROM t),
+    q AS (SELECT archive_id, min(at_ms) AS asked FROM t WHERE event_type = 'click' GROUP BY 1), r AS (SELECT t.archive_id, min(at_ms) AS heard FROM t JOIN q ON q.archive_id = t.archive_id WHERE event_type = 'view' AND at_ms >= asked GROUP BY 1),
+    j AS (SELECT q.archive_id, asked, heard, asked + 3 * {RESEND_MS} AS e, until FROM q LEFT JOIN r ON r.archive_id = q.archive_id, n),
+    s AS (SELECT archive_id, CAST(i AS INTEGER) AS attempt, asked + (i - 1) * {RESEND_MS} AS at_ms, 'sent' AS outcome, until, heard FROM j, range(1, 4) x(i)),
+    o AS (SELECT archive_id, CAST(CASE WHEN heard < e THEN least((heard - asked) // {RESEND_MS} + 1, 3) ELSE 3 END AS INTEGER) AS attempt, CASE WHEN heard < e THEN heard ELSE e END AS at_ms, CASE WHEN heard < e THEN 'answered' ELSE 'failed' END AS outcome, until FROM j)
+    SELECT archive_id, attempt, at_ms, outcome FROM s WHERE at_ms <= least(until, coalesce(heard, until)) UNION ALL SELECT archive_id, attempt, at_ms, outcome FROM o WHERE at_ms <= until""",
+)
+def dispatch_sends(spark, sf_dir):
+    """What is sent when, and how it ends; tests hold the stream form against it."""
+    kind = F.when(F.col("kind") == "queued", "dispatch_requested").when(F.col("kind") == "status", "dispatched").otherwise("other")
+    e = log(spark, sf_dir).select("archive_id", kind.alias("kind"), F.col("epoch_ms").alias("at_ms"))
+    return states.dispatch_sends(e, e.agg(F.max("at_ms")).first()[0] or 0, RESEND_MS, 3)
+
+
+@query(
+    "packets_in_order",
+    f"""WITH p AS (SELECT CAST(user_id % 8 AS VARCHAR) AS stream_id, event_id AS sequence_id, epoch_us(ts) // 1000 + (event_id * 7919 % 10) * 400000 AS at_ms FROM events WHERE event_id % 9 <> 0),
+    l AS (SELECT *, min(at_ms) OVER (PARTITION BY stream_id ORDER BY sequence_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, min(at_ms) OVER (PARTITION BY stream_id) AS begin FROM p),
+    t AS (SELECT * FROM l WHERE later IS NULL OR at_ms <= later + {WAIT_MS}), f AS (SELECT stream_id, min(sequence_id) AS first FROM t WHERE at_ms <= begin + {WAIT_MS} GROUP BY 1)
+    SELECT t.stream_id, sequence_id, at_ms, CAST(coalesce(sequence_id - lag(sequence_id) OVER (PARTITION BY t.stream_id ORDER BY sequence_id) - 1, 0) AS BIGINT) AS lost FROM t JOIN f ON f.stream_id = t.stream_id WHERE sequence_id >= first""",
+)
+def packets_in_order(spark, sf_dir):
+    """Packets that come in time, in order, and what is lost before each; tests hold the stream form against it."""
+    k = F.col("event_id")
+    e = I.read(spark, sf_dir, "events").where(k % 9 != 0)
+    p = e.select((F.col("user_id") % 8).cast("string").alias("stream_id"), k.alias("sequence_id"), (F.unix_millis(F.col("ts").cast("timestamp")) + (k * 7919 % 10) * 400_000).alias("at_ms"))
+    return states.reordered(p, WAIT_MS)
