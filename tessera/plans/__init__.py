@@ -1,6 +1,6 @@
 """Named queries that apply the operators to the supplied tables, and their SQL."""
 
-from . import facades, graphs, jobs, observed, pairs, rasters, statistics, tables, texts  # noqa: F401  they register their queries
+from . import facades, graphs, jobs, observed, pairs, rasters, statistics, survey, tables, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
