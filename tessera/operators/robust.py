@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import materialize
+from ..durable import materialize, release, ship
 from ..functions import linalg
 
 #: Values that may be collected once the histograms have narrowed a quantile down.
@@ -306,21 +306,106 @@ def similarity(points: DataFrame, source: tuple[str, ...] = ("ax", "ay", "az"),
     return {"scale": scale, "rotation": rotation.tolist(), "translation": (mean[3:] - scale * rotation @ mean[:3]).tolist()}
 
 
+#: Cameras of a leaf of the partition, about, and leaves that are sent to every task; more of them meet the points by leaf.
+LEAF_CAMERAS = 64
+SENT_LEAVES = 4096
+
+
+def camera_leaves(cameras: DataFrame, leaf: int = LEAF_CAMERAS, most_depth: int = 40) -> DataFrame:
+    """cameras(x, y, z) in the leaves of a k-d partition: (leaf, x, y, z). Every round halves, at about the middle, the
+    widest side of each leaf of more than `leaf` places; equal places are one."""
+    now = cameras.select(*(F.col(d).cast("double").alias(d) for d in "xyz")).dropna().distinct().withColumn("leaf", F.lit("0"))
+    now = materialize(now, "leaves")
+    for _ in range(most_depth):
+        sides = now.groupBy("leaf").agg(F.count("*").alias("n"), *(F.min(d).alias(f"lo_{d}") for d in "xyz"), *(F.max(d).alias(f"hi_{d}") for d in "xyz"), *(F.percentile_approx(d, 0.5, 1000).alias(f"mid_{d}") for d in "xyz"))
+        wide = [F.col(f"hi_{d}") - F.col(f"lo_{d}") for d in "xyz"]
+        side = F.when((wide[0] >= wide[1]) & (wide[0] >= wide[2]), "x").when(wide[1] >= wide[2], "y").otherwise("z")
+        # Rows at the middle go down, so it has to lie below the greatest; else between the ends.
+        pick = lambda what: F.when(F.col("side") == "x", F.col(f"{what}_x")).when(F.col("side") == "y", F.col(f"{what}_y")).otherwise(F.col(f"{what}_z"))
+        cut = sides.where(F.col("n") > leaf).withColumn("side", side)
+        cut = cut.select("leaf", "side", F.when(pick("mid") < pick("hi"), pick("mid")).otherwise((pick("lo") + pick("hi")) / 2).alias("at")).where(F.col("at").isNotNull())
+        cut = materialize(cut, "cuts")
+        if cut.isEmpty():
+            release(cut)
+            break
+        at = F.when(F.col("side") == "x", F.col("x")).when(F.col("side") == "y", F.col("y")).otherwise(F.col("z"))
+        below = F.when(F.col("at").isNull(), F.col("leaf")).otherwise(F.concat("leaf", F.when(at <= F.col("at"), "0").otherwise("1")))
+        before, now = now, materialize(now.join(cut, "leaf", "left").select("x", "y", "z", below.alias("leaf")), "leaves")
+        release(before, cut)
+    return now
+
+
+def nearest_camera(points: DataFrame, cameras: DataFrame, cap_m: float, key: str = "point_id", leaf: int = LEAF_CAMERAS) -> DataFrame:
+    """(key, x, y, z, gap): the distance of each point to the nearest camera, 2 * cap_m where none is within cap_m.
+
+    Cameras lie in the leaves of a k-d partition. A point asks only the leaves whose boxes may hold the nearest camera: those
+    not farther than the least of the distances to the farthest corners of all boxes. Boxes are one row a leaf; up to
+    SENT_LEAVES of them are sent to every task, after counting. Beyond that, points meet the boxes that reach their cell of
+    cap_m, and only those.
+    """
+    ship(points.sparkSession)
+    leaves = camera_leaves(cameras, leaf)
+    boxes = leaves.groupBy("leaf").agg(*(F.min(d).alias(f"lo_{d}") for d in "xyz"), *(F.max(d).alias(f"hi_{d}") for d in "xyz"))
+    boxes = materialize(boxes, "leaf-boxes")
+    placed = points.select(key, *(F.col(d).cast("double").alias(d) for d in "xyz"))
+    near = F.sqrt(sum((F.pow(F.greatest(F.col(f"lo_{d}") - F.col(d), F.col(d) - F.col(f"hi_{d}"), F.lit(0.0)), 2) for d in "xyz"), F.lit(0.0)))
+    far = F.sqrt(sum((F.pow(F.greatest(F.abs(F.col(f"lo_{d}") - F.col(d)), F.abs(F.col(d) - F.col(f"hi_{d}"))), 2) for d in "xyz"), F.lit(0.0)))
+    n_leaves = boxes.count()
+    if n_leaves <= SENT_LEAVES:
+        asked = _asked_leaves(placed, boxes, cap_m, key)
+    else:
+        cells = lambda a, b: F.explode(F.sequence(F.floor(a / cap_m).cast("long"), F.floor(b / cap_m).cast("long")))
+        spread = boxes
+        for d in "xyz":
+            spread = spread.withColumn(f"k{d}", cells(F.col(f"lo_{d}") - cap_m, F.col(f"hi_{d}") + cap_m))
+        here = placed.select("*", *(F.floor(F.col(d) / cap_m).cast("long").alias(f"k{d}") for d in "xyz"))
+        met = here.join(spread, ["kx", "ky", "kz"]).select(key, "x", "y", "z", "leaf", near.alias("near"), far.alias("far"))
+        least = met.groupBy(key, "x", "y", "z").agg(F.min("far").alias("least"))
+        asked = met.where(F.col("near") <= cap_m).join(least, [key, "x", "y", "z"]).where(F.col("near") <= F.col("least")).select(key, "x", "y", "z", "leaf")
+    rows = leaves.select("leaf", *(F.col(d).alias(f"c{d}") for d in "xyz"))
+    # A leaf's cameras in one row: they are few, and a point meets the row, not each of them.
+    packs = rows.groupBy("leaf").agg(F.collect_list(F.struct("cx", "cy", "cz")).alias("cs"))
+    least = F.array_min(F.transform("cs", lambda c: F.sqrt(F.pow(F.col("x") - c["cx"], 2) + F.pow(F.col("y") - c["cy"], 2) + F.pow(F.col("z") - c["cz"], 2))))
+    found = asked.join(packs, "leaf").groupBy(key, "x", "y", "z").agg(F.min(least).alias("gap"))
+    same = F.lit(True)
+    for c in (key, "x", "y", "z"):
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}"))
+    out = placed.alias("p").join(found.alias("f"), same, "left")
+    return out.select(*(f"p.{c}" for c in (key, "x", "y", "z")), F.when(F.col("f.gap") <= cap_m, F.col("f.gap")).otherwise(F.lit(2 * cap_m)).alias("gap"))
+
+
+def _asked_leaves(placed: DataFrame, boxes: DataFrame, cap_m: float, key: str) -> DataFrame:
+    """Points with the leaves that may hold their nearest camera, by boxes that every task has: their number is checked."""
+    rows = boxes.collect()
+    names = [r["leaf"] for r in rows]
+    low, high = (np.array([[r[f"{side}_{d}"] for d in "xyz"] for r in rows], float).reshape(-1, 3) for side in ("lo", "hi"))
+    schema = placed.withColumn("leaf", F.lit("")).schema
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            p = batch[["x", "y", "z"]].to_numpy(float)
+            out = []
+            for at in range(0, len(p) if len(names) else 0, 1024):
+                x = p[at : at + 1024, None, :]
+                near = np.sqrt((np.maximum(np.maximum(low - x, x - high), 0) ** 2).sum(axis=2))
+                far = np.sqrt((np.maximum(np.abs(low - x), np.abs(x - high)) ** 2).sum(axis=2))
+                i, j = np.nonzero((near <= far.min(axis=1, keepdims=True)) & (near <= cap_m))
+                part = batch.iloc[at + i].copy()
+                part["leaf"] = [names[k] for k in j]
+                out.append(part)
+            yield pd.concat(out) if out else batch.iloc[:0].assign(leaf="")
+
+    return placed.mapInPandas(run, schema)
+
+
 def near_cameras(points: DataFrame, cameras: DataFrame, multiple: float = 4.0, cap_m: float = 150.0, key: str = "point_id") -> DataFrame:
     """Points whose nearest camera is closer than the lesser of cap_m and `multiple` medians of that distance.
 
     points(key, x, y, z), cameras(x, y, z). Points farther than cap_m from every camera cannot stay; they still count in
     the median, as far away.
     """
-    import itertools
-
-    cell = lambda d: F.floor(F.col(d) / cap_m).cast("long")
-    steps = F.array(*(F.array(*(F.lit(x) for x in s)) for s in itertools.product((-1, 0, 1), repeat=3)))
-    around = cameras.select(*(F.col(d).alias(f"c{d}") for d in "xyz"), F.explode(steps).alias("s"), *(cell(d).alias(f"k{d}") for d in "xyz"))
-    around = around.select("cx", "cy", "cz", *((F.col(f"k{d}") + F.col("s")[i]).alias(f"k{d}") for i, d in enumerate("xyz")))
-    placed = points.select(key, "x", "y", "z", *(cell(d).alias(f"k{d}") for d in "xyz"))
-    gap = F.sqrt(sum((F.pow(F.col(d) - F.col(f"c{d}"), 2) for d in "xyz"), F.lit(0.0)))
-    nearest = placed.join(around, ["kx", "ky", "kz"], "left").groupBy(key, "x", "y", "z").agg(F.min(gap).alias("gap"))
-    nearest = nearest.withColumn("gap", F.coalesce("gap", F.lit(2 * cap_m)))
+    nearest = materialize(nearest_camera(points, cameras, cap_m, key), "camera-gaps")
     median = quantiles(nearest, "gap", [0.5])
     return nearest.where(F.col("gap") < (min(multiple * median[0], cap_m) if median else cap_m))
