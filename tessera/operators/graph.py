@@ -158,7 +158,7 @@ def refine(edges: DataFrame, places: DataFrame, huber_px: float = 2.0, rounds: i
     def run(key, near: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
         start = dict(zip(at["node"], at["to_reference"], strict=True))
         extent = {n: (w, h) for n, w, h in zip(at["node"], at["width"], at["height"], strict=True) if w == w and h == h}
-        roots = set(at.loc[at["root"].fillna(False).astype(bool), "node"])
+        roots = {n for n, r in zip(at["node"], at["root"], strict=True) if r is not None and r == r and r}
         pairs = list(zip(near["image_a"], near["image_b"], near["homography"], strict=True))
         done = fit_homographies(pairs, start, extent, roots, huber_px, rounds)
         return pd.DataFrame({"facade": key[0], "node": list(done), "to_reference": [v.tolist() for v in done.values()]})

@@ -41,4 +41,4 @@ ASSIGNMENT = _of(
 SITES = T.StructType([T.StructField("companies", T.ArrayType(_of("name string", buildings=_STRINGS)))])
 
 #: Failure codes of pair geometry, in the order in which the gates apply.
-FAILURES = ("LOW_MATCH", "LOW_INLIER", "HIGH_REPROJECTION_ERROR", "DEGENERATE_HOMOGRAPHY", "MATCH_TIMEOUT", "POSE_INCONSISTENT", "FLOOR_COUNT_MISMATCH")
+FAILURES = ("LOW_MATCH", "LOW_INLIER", "HIGH_REPROJECTION_ERROR", "DEGENERATE_HOMOGRAPHY", "MATCH_TIMEOUT", "MATCH_FAILED", "POSE_INCONSISTENT", "FLOOR_COUNT_MISMATCH")

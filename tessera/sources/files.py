@@ -207,33 +207,53 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return flat.select(*(F.col(o) if names == [""] else whole(o, names).alias(o) for o, names in nested.items()))
 
 
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The version of a cached catalog that is whole: what its newest pointer names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    numbers = [int(n.rsplit("-", 1)[1]) for n in names if n.startswith("version-")]
+    return f"{path}/{max(numbers):012d}" if numbers else None
+
+
 def cached_catalog(images: DataFrame, path: str) -> DataFrame:
     """The catalog of scanned images(path, length, content), written under path; files that a catalog there has, with the
-    same length, are not read again, and those that are gone leave it."""
+    same length, are not read again, and those that are gone leave it.
+
+    Each call writes a version of its own, and last an empty file that points to it. A call that dies on the way leaves
+    the version before in force; the last two versions are kept, as a reader may still be in the one before.
+    """
     from .exif import catalog
 
     spark = images.sparkSession
     listed = images.select("path", "length")
-    try:
-        known = spark.read.parquet(f"{path}/files")
-        old = read_catalog(spark, f"{path}/catalog")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = old = None
-    if known is None:
-        whole = catalog(images)
+    current = _current(spark, path)
+    if current is None:
+        whole, number = catalog(images), 1
     else:
+        number = int(current.rsplit("/", 1)[1]) + 1
+        known, old = spark.read.parquet(f"{current}/files"), read_catalog(spark, f"{current}/catalog")
         same = listed.join(known, ["path", "length"], "left_semi").select(F.col("path").alias("file_path"))
         new = images.join(known, ["path", "length"], "left_anti")
         whole = old.join(same, "file_path", "left_semi").select(*old.columns).unionByName(catalog(new))
-    # Beside the old ones first: they are being read.
-    write_catalog(whole, f"{path}/catalog-new")
-    listed.write.mode("overwrite").parquet(f"{path}/files-new")
-    done = read_catalog(spark, f"{path}/catalog-new")
-    write_catalog(done, f"{path}/catalog")
-    spark.read.parquet(f"{path}/files-new").write.mode("overwrite").parquet(f"{path}/files")
-    return read_catalog(spark, f"{path}/catalog")
+    version = f"{path}/{number:012d}"
+    write_catalog(whole, f"{version}/catalog")
+    listed.write.mode("overwrite").parquet(f"{version}/files")
+    _touch(spark, f"{path}/pointers/version-{number:012d}")
+    if number > 2:
+        _remove(spark, f"{path}/pointers/version-{number - 2:012d}")
+        _remove(spark, f"{path}/{number - 2:012d}")
+    return read_catalog(spark, f"{version}/catalog")
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def json_log(rows: DataFrame, level: str, message: str, fields: list[str]) -> DataFrame:

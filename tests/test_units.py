@@ -139,6 +139,10 @@ def test_catalog_is_read_again(spark, tmp_path):
     second = files.cached_catalog(images(a="X1", c="M3"), path)
     assert names(second) == {"a": ("M1", 1.5), "c": ("M3", 1.5)} and second.first()["drone_pose"] is None
     assert names(files.cached_catalog(images(a="longer"), path)) == {"a": ("longer", 1.5)}
+    # A call that dies before it points to its version leaves the one before in force.
+    (tmp_path / "catalog" / "000000000004" / "catalog").mkdir(parents=True)
+    assert names(files.cached_catalog(images(a="longer", d="M4"), path)) == {"a": ("longer", 1.5), "d": ("M4", 1.5)}
+    assert sorted(p.name for p in (tmp_path / "catalog" / "pointers").iterdir() if p.name.startswith("v")) == ["version-000000000003", "version-000000000004"]
 
 
 def test_linear_algebra(spark):
@@ -464,6 +468,34 @@ def test_kernels(spark):
     assert got == {"b": ("OK", 1), "slow": ("MATCH_TIMEOUT", 0)}
 
 
+def test_kernels_that_fail(spark):
+    """An exception fails its pair, with or without a time limit; so does a process that ends, at once."""
+    import os
+    import time
+
+    def make():
+        def match(a, b):
+            if b == "bad":
+                raise KeyError(a)
+            if b == "gone":
+                os._exit(3)
+            return None if b == "none" else [(1.0, 2.0, 3.0, 4.0, 0.9)]
+
+        return match
+
+    rows = lambda *bs: spark.createDataFrame([("a", b) for b in bs], "image_a string, image_b string").coalesce(1)
+    told = lambda df: {r["image_b"]: (r["status"], r["num_matches"], r["error"]) for r in df.collect()}
+    want = {"bad": ("MATCH_FAILED", 0, "KeyError: 'a'"), "none": ("MATCH_TIMEOUT", 0, None), "b": ("OK", 1, None)}
+    assert told(kernels.match_pairs(rows("bad", "none", "b"), make)) == want
+    began = time.monotonic()
+    got = told(kernels.match_pairs(rows("bad", "gone", "none", "b"), make, timeout_s=60))
+    assert got == want | {"gone": ("MATCH_FAILED", 0, "the process ended with 3")} and time.monotonic() - began < 40
+    nulls = spark.createDataFrame([("a", "b", "OK", None, None)], "image_a string, image_b string, status string, keypoints_a array<struct<x:double,y:double>>, keypoints_b array<struct<x:double,y:double>>")
+    from tessera.operators import homography
+
+    assert [r["status"] for r in homography.estimate(nulls).collect()] == ["LOW_MATCH"]
+
+
 def frames_of(spark, rows):
     return spark.createDataFrame(rows, "stream_id string, frame_id long, at_s double")
 
