@@ -8,8 +8,11 @@ eight pairs of anchor and Golay key agrees but for 0.005 of the pairs. What meet
 
 Keys that more than a few sets share are not compared pairwise. A set of which more than a fifth of the shingles are in no
 other such set is not alike to any of them, and leaves; so does a pair if either set lacks the shared shingles that it needs.
-The others meet the next ones in each key's own order, what is alike is grouped, and what is left to decide are pairs of
-different groups under one key: those are compared in full. No set has a limit of partners.
+Sets that share the same shingles (one template, each with words of its own) are a class: two of them have just these in
+common, so their sizes decide, and the smallest stands for all that are alike to it. The others are further from any set than
+the smallest of them, so one speaks for all; only if it is alike to something do they come in themselves. What comes in meets
+the next ones in each key's own order, what is alike is grouped, and what is left to decide are pairs of different groups
+under one key: those are compared in full. No set has a limit of partners.
 """
 
 from __future__ import annotations
@@ -208,7 +211,7 @@ def alike(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def own_shingles(values: DataFrame) -> DataFrame:
-    """(set, own): how many values of each set are in no other."""
+    """(set, own, d1, d2): how many values of each set are in no other, and two digests of those that are."""
 
     def start():
         import numpy as np
@@ -220,18 +223,45 @@ def own_shingles(values: DataFrame) -> DataFrame:
         return work
 
     each = map_slices(values.select("set", "values"), "set long, value int", start)
+    digests = [F.bit_xor(F.xxhash64("value", F.lit(n))).alias(f"d{n}") for n in (1, 2)]
+    whole = each.groupBy("set").agg(*digests)
     alone = each.groupBy("value").agg(F.count("*").alias("n"), F.min("set").alias("set")).where("n = 1")
-    return alone.groupBy("set").agg(F.count("*").alias("own"))
+    own = alone.groupBy("set").agg(F.count("*").alias("own"), *(d.alias(f"own_d{n}") for n, d in enumerate(digests, 1)))
+    # Exclusive or takes the own values out again.
+    rest = [F.col(f"d{n}").bitwiseXOR(F.coalesce(f"own_d{n}", F.lit(0))).alias(f"d{n}") for n in (1, 2)]
+    return whole.join(own, "set", "left").select("set", F.coalesce("own", F.lit(0)).alias("own"), *rest)
 
 
 def live_rows(crowded: DataFrame, sets: DataFrame, values: DataFrame) -> DataFrame:
-    """(key, set, n, fp, shared) of the rows of crowded keys whose sets share enough shingles with others to be alike to one."""
+    """(key, set, n, fp, shared, d1, d2) of the rows of crowded keys whose sets share enough shingles with others to be alike
+    to one; d1 and d2 tell what they share."""
     crowd = values.join(crowded.select("set").distinct(), "set", "left_semi")
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    live = sets.join(own_shingles(crowd), "set", "left").select("set", "n", "fp", shared.alias("shared"))
+    shared = F.col("n") - F.col("own")
+    live = sets.join(own_shingles(crowd), "set").select("set", "n", "fp", shared.alias("shared"), "d1", "d2")
     return materialize(crowded.join(live.where(F.col("shared") * LEAST[1] >= F.col("n") * LEAST[0]), "set"), "near-live")
 
 
+CLASS = ("shared", "d1", "d2")
+
+
+def classes(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of live_rows(): links (a, b) of sets to the smallest of their class that they are alike to; the rows of heads, a
+    class's smallest set and the smallest of its others, under all keys of the class; the others (set, head)."""
+    sets = live.select("set", "n", "fp", *CLASS).distinct()
+    first = sets.groupBy(*CLASS).agg(F.min(F.struct("n", "set", "fp")).alias("first"))
+    named = sets.join(first, list(CLASS))
+    joins = (F.col("n") + F.col("first.n")) * LEAST[0] <= F.col("shared") * (LEAST[0] + LEAST[1])
+    named = materialize(named.withColumn("joins", joins), "near-classes")
+    inside = named.where(F.col("joins") & (F.col("set") != F.col("first.set"))).select(F.col("first.set").alias("a"), F.col("set").alias("b"))
+    others = named.where(~F.col("joins") & (F.col("set") != F.col("first.set")))
+    second = others.groupBy(*CLASS).agg(F.min(F.struct("n", "set", "fp")).alias("head"))
+    heads = first.select(*CLASS, F.col("first").alias("head")).unionByName(second)
+    keys = live.select("key", *CLASS).distinct()
+    rows = keys.join(heads, list(CLASS)).select("key", "head.set", "head.n", "head.fp", *CLASS)
+    apart = others.join(second, list(CLASS)).select("set", F.col("head.set").alias("head"))
+    return inside, materialize(rows, "near-heads"), apart.where("set <> head")
+
+
 def _share_enough():
     return F.least("shareda", "sharedb") * (LEAST[0] + LEAST[1]) >= (F.col("na") + F.col("nb")) * LEAST[0]
 
@@ -265,20 +295,36 @@ def across(live: DataFrame, linked: DataFrame) -> DataFrame:
     return found
 
 
+def compared(rows: DataFrame, found: DataFrame, tried: DataFrame, values: DataFrame) -> DataFrame:
+    """The links found, and those of rows(key, set, ...) of crowded keys: next ones first, then what is left in different
+    groups. Pairs in tried(a, b) are not compared again."""
+    beside = materialize(neighbours(rows).distinct().join(tried, ["a", "b"], "left_anti"), "near-beside")
+    found = materialize(found.unionByName(alike(beside, values)), "near-links")
+    known = tried.unionByName(beside)
+    rest = materialize(across(rows, found).join(known, ["a", "b"], "left_anti"), "near-rest")
+    if not rest.isEmpty():
+        found = materialize(found.unionByName(alike(rest, values)), "near-links")
+    release(beside, rest)
+    return found
+
+
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets(set, n, anchors, fp, row), the texts of which are in docs, that join the groups of alike sets."""
     pairs, crowded = candidates(sets)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(crowded.select("set")).distinct()
     values = values_of(docs, sets.join(asked, "set", "left_semi").select("set", "row"))
+    found = alike(pairs, values)
     if crowded.isEmpty():
-        return alike(pairs, values)
+        return found
     live = live_rows(crowded, sets, values)
-    tried = materialize(pairs.unionByName(neighbours(live)).distinct(), "near-tried")
-    found = alike(tried, values)
-    rest = materialize(across(live, found).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        found = materialize(found.unionByName(alike(rest, values)), "near-links")
-    release(values, live, tried, rest)
+    inside, heads, apart = classes(live)
+    found = compared(heads, materialize(found.unionByName(inside), "near-links"), pairs, values)
+    # Sets apart from their class's smallest come in where the one that speaks for them is in a group.
+    grouped = components(found).select(F.col("node").alias("head"))
+    more = materialize(apart.join(grouped, "head", "left_semi").select("set"), "near-apart")
+    if not more.isEmpty():
+        found = compared(heads.unionByName(live.join(more, "set", "left_semi").select(*heads.columns)), found, pairs, values)
+    release(live, heads, more)
     return found
 
 

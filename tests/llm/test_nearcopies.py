@@ -81,6 +81,37 @@ def test_copies_of_copies_and_loners_in_a_crowd(spark):
     assert sorted(d for d, _ in stay(spark, rows)) == want and 122 < len(want) < 280
 
 
+def template(rng, base, at, own):
+    """A text of a template with a stretch of own words."""
+    return base[:at] + words(rng, own) + base[at + own :]
+
+
+def test_templates_with_words_of_their_own(spark):
+    """Sets of one template that are too far from each other, some that are near, and copies that join far ones."""
+    rng = random.Random(8)
+    base, other = words(rng, 200), words(rng, 200)
+    texts = [template(rng, base, 40, 28) for _ in range(60)] + [template(rng, base, 40, 12) for _ in range(20)] + [template(rng, other, 100 + 3 * (i % 9), 30) for i in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(edited(rng, texts[i], 1))) for i in (3, 17, 90)]
+    rows += [(2000 + i, " ".join(template(rng, base, 40, n)[:190])) for i, n in enumerate((2, 5, 8, 28, 28))]
+    want = sorted(min(g)[1] for g in plain_kept(rows).values())
+    assert sorted(d for d, _ in stay(spark, rows)) == want and 60 < len(want) < 130
+
+
+def test_a_template_gives_few_pairs(spark, monkeypatch):
+    """Documents of one template, each with a stretch of its own: what is compared does not grow with their square."""
+    rng = random.Random(9)
+    base, compared = words(rng, 100), []
+    real = nearcopies.alike
+    monkeypatch.setattr(nearcopies, "alike", lambda pairs, values: (compared.append(pairs.count()), real(pairs, values))[1])
+    for n in (150, 300):
+        rows = [(i, " ".join(template(rng, base, 30, 14))) for i in range(n)]
+        compared.clear()
+        assert len(stay(spark, rows)) == n
+        # Keys that few share give some pairs each; those that many share give the two that speak for the class.
+        assert compared[0] < 60 * n and sum(compared[1:]) <= 4
+
+
 def test_given_documents_against_all_pairs(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(10**6 + i, " ".join(t.split()[:-1])) for i, (_, t) in enumerate(rows[:40]) if t and len(t.split()) > 60]
