@@ -144,14 +144,139 @@ def merge_points(points: DataFrame, radius: float, group: str, key: str = "idx",
 #: Rows that refine() gathers for a facade: its edges, and its images' homographies and sizes.
 EDGE = "facade string, image_a string, image_b string, homography array<double>"
 PLACE = "facade string, node string, to_reference array<double>, width double, height double, root boolean"
-REFINED = "facade string, node string, to_reference array<double>"
+REFINED = "facade string, node string, to_reference array<double>, decided boolean"
+
+
+#: Disagreement of an edge with another way between its images, of one edge, that noise explains; ways that are tried for each
+#: edge, and edges of a way at most; trees that are tried at least and at most, and checks of edges that they may take.
+CYCLE_PX, WAYS, LONGEST = 12.0, 8, 7
+LEAST_TREES, MOST_TREES, CHECKS = 20, 400, 200_000
+
+
+def _carried(h, extent):
+    """Where homographies carry the corners of images of that extent (width, height): (n, 4, 2)."""
+    import numpy as np
+
+    corners = np.ones((len(h), 4, 3))
+    corners[:, :, :2] = np.asarray(extent, float)[:, None, :] * np.array([[0, 0], [1, 0], [1, 1], [0, 1]])
+    q = corners @ h.transpose(0, 2, 1)
+    with np.errstate(all="ignore"):
+        return q[..., :2] / q[..., 2:]
+
+
+def supported(edges, extent, cycle_px: float = CYCLE_PX):
+    """For each edge (a, b, matrix) the share of the ways tried between its images that confirm it, without it; a half where
+    there is none. Ways are shortest ones in graphs of which some edges are left out at random."""
+    import numpy as np
+
+    draw, near = np.random.default_rng(len(edges)), {}
+    for i, (a, b, m) in enumerate(edges):
+        near.setdefault(a, []).append((b, i, m))
+        near.setdefault(b, []).append((a, i, np.linalg.inv(m)))
+
+    def way(a, b, without):
+        left_out = draw.random(len(edges)) < 0.2
+        left_out[without] = True
+        seen, front = {a: (np.eye(3), 0)}, [a]
+        while front and b not in seen:
+            ahead = []
+            for x in front:
+                m, n = seen[x]
+                for k in draw.permutation(len(near[x])) if n < LONGEST else ():
+                    y, i, step = near[x][k]
+                    if y not in seen and not left_out[i]:
+                        seen[y] = step @ m, n + 1
+                        ahead.append(y)
+            front = ahead
+        return seen.get(b)
+
+    out = []
+    for i, (a, b, m) in enumerate(edges):
+        found = [w for w in (way(a, b, i) for _ in range(WAYS)) if w is not None]
+        if not found:
+            out.append(0.5)
+            continue
+        h = np.stack([m, *(w[0] for w in found)])
+        at = _carried(h, [extent[a]] * len(h))
+        gaps = np.linalg.norm(at[1:] - at[:1], axis=2).mean(axis=1)
+        out.append(float(np.mean(gaps <= cycle_px * np.sqrt([w[1] + 1 for w in found]))))
+    return np.array(out)
+
+
+def agreeing(edges, extent, start, roots, cycle_px: float = CYCLE_PX):
+    """Numbers of the edges that disagree with the spanning forest that most edges agree with, homographies along it, and the
+    images for which this is open, as another forest that as many edges agree with puts them elsewhere.
+
+    Forests are drawn at random, the more often through an edge the more ways confirm it; images begin at their roots, or
+    at one of theirs where there is none. Of forests that as many edges agree with, the one nearest to the start is taken.
+    """
+    import numpy as np
+
+    draw, support = np.random.default_rng(len(edges) + 1), supported(edges, extent, cycle_px)
+    names = sorted({n for a, b, _ in edges for n in (a, b)})
+    place = {n: i for i, n in enumerate(names)}
+    u, v = (np.array([place[e[k]] for e in edges]) for k in (0, 1))
+    direct, sizes = np.stack([e[2] for e in edges]), [extent[e[0]] for e in edges]
+    target, begun = _carried(direct, sizes), np.stack([start[n] for n in names])
+    back = np.linalg.inv(direct)
+    shown = [i for i, n in enumerate(names) if n in extent]
+    where = _carried(begun[shown], [extent[names[i]] for i in shown])
+    heads = sorted(range(len(names)), key=lambda i: (names[i] not in roots, names[i]))
+    best = None
+    for trial in range(int(np.clip(CHECKS / len(edges), LEAST_TREES, MOST_TREES))):
+        # The first forest takes the best confirmed edges.
+        order = np.argsort((1.05 - support) * (1.0 if trial == 0 else draw.random(len(edges))), kind="stable")
+        root, near = list(range(len(names))), [[] for _ in names]
+
+        def find(x, root=root):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i in order:
+            a, b = find(u[i]), find(v[i])
+            if a != b:
+                root[a] = b
+                near[u[i]].append((v[i], back[i]))
+                near[v[i]].append((u[i], direct[i]))
+        h, depth = begun.copy(), np.full(len(names), -1)
+        for head in heads:
+            if depth[head] >= 0:
+                continue
+            depth[head], front = 0, [head]
+            for x in front:
+                for y, step in near[x]:
+                    if depth[y] < 0:
+                        h[y], depth[y] = h[x] @ step, depth[x] + 1
+                        front.append(y)
+        with np.errstate(all="ignore"):
+            gaps = np.linalg.norm(_carried(np.linalg.inv(h[v]) @ h[u], sizes) - target, axis=2).mean(axis=1)
+            off = ~(gaps <= cycle_px * np.sqrt(np.minimum(depth[u] + depth[v], LONGEST) + 1.0))
+            away = np.linalg.norm(_carried(h[shown], [extent[names[i]] for i in shown]) - where, axis=2).mean()
+        mark = (int(off.sum()), float(np.nan_to_num(away, nan=np.inf)))
+        if best is None or mark[0] < best[0][0]:
+            others = []
+        if best is None or mark < best[0]:
+            best = mark, off, h
+        if mark[0] == best[0][0] and not any((off == o).all() for o, _ in others):
+            others.append((off, h))
+    _, off, h = best
+    # Other forests that as many edges agree with, but of other edges: where they put an image elsewhere, it is open.
+    open_, at = set(), _carried(h[shown], [extent[names[i]] for i in shown])
+    for _, other in others:
+        with np.errstate(all="ignore"):
+            gap = np.linalg.norm(_carried(other[shown], [extent[names[i]] for i in shown]) - at, axis=2).mean(axis=1)
+        open_ |= {names[shown[i]] for i in np.nonzero(~(gap <= cycle_px * (2 * LONGEST) ** 0.5))[0]}
+    return {int(i) for i in np.nonzero(off)[0]}, {n: h[i] / h[i][2, 2] for n, i in place.items()}, open_
 
 
 def refine(edges: DataFrame, places: DataFrame, huber_px: float = 2.0, rounds: int = 100) -> DataFrame:
     """Each facade's homographies after a robust least-squares fit of all its edges' corner disagreements, its root held fixed.
 
     edges(facade, image_a, image_b, homography), places(facade, node, to_reference, width, height, root). The edges of a
-    facade, a few thousand rows, are gathered in one task; facades run in parallel. Images without edges stay as they are.
+    facade, a few thousand rows, are gathered in one task; facades run in parallel. Images without edges stay as they are; so
+    do those for which the edges leave it open which of them is wrong: decided is false for them.
     """
     import pandas as pd
 
@@ -160,17 +285,20 @@ def refine(edges: DataFrame, places: DataFrame, huber_px: float = 2.0, rounds: i
         extent = {n: (w, h) for n, w, h in zip(at["node"], at["width"], at["height"], strict=True) if w == w and h == h}
         roots = {n for n, r in zip(at["node"], at["root"], strict=True) if r is not None and r == r and r}
         pairs = list(zip(near["image_a"], near["image_b"], near["homography"], strict=True))
-        done = fit_homographies(pairs, start, extent, roots, huber_px, rounds)
-        return pd.DataFrame({"facade": key[0], "node": list(done), "to_reference": [v.tolist() for v in done.values()]})
+        left_open: set = set()
+        done = fit_homographies(pairs, start, extent, roots, huber_px, rounds, left_open=left_open)
+        return pd.DataFrame({"facade": key[0], "node": list(done), "to_reference": [v.tolist() for v in done.values()], "decided": [n not in left_open for n in done]})
 
     ship(edges.sparkSession)
     typed = [df.select(*(F.col(c).cast(t) for c, t in (x.split(" ", 1) for x in ddl.split(", ")))) for df, ddl in ((edges, EDGE), (places, PLACE))]
     return typed[0].groupBy("facade").cogroup(typed[1].groupBy("facade")).applyInPandas(run, REFINED)
 
 
-def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds: int = 100):
+def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds: int = 100, cycle_px: float = CYCLE_PX, left_open: set | None = None):
     """The numeric part of refine(): nine numbers by node.
 
+    Edges that disagree with what most others say are taken out, see agreeing(), and images begin where these lead.
+
     Huber's loss is minimised first; from there, and from the start, a loss in which edges that are far off count ever less;
     the best end is taken. An edge's residuals are, in the frame of its second image and in pixels, where the two homographies to the root carry the
     corners of its first image against where its own homography does. There an image can't lessen them by shrinking. Weights
@@ -181,6 +309,14 @@ def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds:
 
     h = {n: np.array(v, float).reshape(3, 3) / v[8] for n, v in start.items() if v is not None}
     used = [(a, b, np.array(m, float).reshape(3, 3)) for a, b, m in edges if a in h and b in h and a in extent and m is not None]
+    wrong, along, open_ = agreeing(used, extent, h, set(roots), cycle_px) if used else (set(), {}, set())
+    # Where all edges agree, the start is as good a place to begin, and nearer to what is asked.
+    along = h | along if wrong else h
+    if left_open is not None:
+        left_open |= open_
+    # Open images stay where they were, and what they say about others does not count.
+    along |= {n: h[n] for n in open_}
+    used = [e for i, e in enumerate(used) if i not in wrong and not {e[0], e[1]} & open_]
     free = sorted({n for a, b, _ in used for n in (a, b)} - set(roots))
     if not free:
         return {n: m.reshape(-1) for n, m in h.items()}
@@ -251,8 +387,7 @@ def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds:
                     break
         return state, best
 
-    begun = np.stack([h[n] for n in names])
-    ends = []
+    begun, ends = np.stack([along[n] for n in names]), []
     for state, scales in ((begun, (4,)), (begun, (64, 16, 4)), (descend(begun, huber)[0], (64, 16, 4))):
         for scale in scales:
             state, best = descend(state, redescending(scale * huber_px))
@@ -260,7 +395,7 @@ def fit_homographies(edges, start, extent, roots, huber_px: float = 2.0, rounds:
     # Where edges leave it open which of them is wrong, the start decides.
     least = min(best for best, _ in ends)
     state = next(state for best, state in ends if best <= 1.05 * least + 1e-9)
-    return {n: m.reshape(-1) for n, m in h.items()} | {n: state[place[n]].reshape(-1) for n in free}
+    return {n: m.reshape(-1) for n, m in along.items()} | {n: state[place[n]].reshape(-1) for n in free}
 
 
 def _solved(diagonal, across, u, v, right, n_free: int, damping: float):
