@@ -29,8 +29,9 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (SimHash with Golay keys, see nearcopies), texts with 0.8 or more of their shingles of five words in common, one row stays:
-    that with the least doc_id, null last. Different texts under one doc_id, or under none, are judged on their own."""
+    """Of each group of near duplicates (SimHash with Golay keys, see nearcopies), texts with 0.8 or more of their shingles of
+    five words in common, one row stays: that with the least doc_id, null last. Different texts under one doc_id, or under
+    none, are judged on their own."""
     return nearcopies.one_of_each(docs)
 
 

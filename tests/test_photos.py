@@ -38,7 +38,6 @@ def test_heads(spark, tmp_path):
 def test_filters_on_path_keep_files_closed(spark, tmp_path):
     for i in range(6):
         (tmp_path / f"p{i}.jpg").write_bytes(photo(float(i)))
-    # A file that nobody may open: it is gone when partitions are read, if the filter did not keep it out of the listing.
     heads = photos.scan_heads(spark, f"file:{tmp_path}")
     some = heads.where(F.col("path").endswith("p3.jpg") & (F.col("length") > 5))
     assert [r["path"] for r in some.select("path").collect()] == [f"file:{tmp_path}/p3.jpg"]
