@@ -127,8 +127,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
     """Sequences of documents(doc_id, text).
 
     Null and empty texts are one end id; repeated rows are packed as often as they occur; other columns are left out; an
-    empty table gives no rows; ties between equal lengths go by doc_id and start within a shard. Every window of a shard
-    but its last few is full, so padding stays below about one window per shard.
+    empty table gives no rows; ties between equal lengths go by doc_id and start within a shard. A window is
+    as full as its longest piece and the rest of its shard allow: padding is what lengths force (pieces of 1,025 ids leave half
+    of each window), and what the last windows of a shard lack.
     """
     return pack(materialize(pieces(docs, capacity, tokenizer), "pieces"), capacity)
 
