@@ -1,9 +1,12 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
-Preference pairs are made of a document of the better label and one of the worse. The probability that the first is
-preferred is the logistic function of the difference of their scores, which are linear in features of the text; the weights
-minimise the logistic loss on differences of features. The scores are then set against a quantile of the scores of the
-labelled sample: what lies above it is good.
+A preference pair is a document of the better label and one of the worse. The probability that the first is preferred is the
+logistic function of the difference of their scores, which are linear in features of the text; the weights minimise the mean
+logistic loss over all pairs of all labelled documents. The scores are then set against a quantile of the scores of the
+labelled documents: what lies above it is good.
+
+Sums over all pairs take one pass over the documents: a smooth function of the difference of two scores is, within cells of
+scores, a polynomial in either one. So documents are spread over the nodes of their cells, and only nodes meet each other.
 
 Features are shares of characters, words and lines of some kinds, and the shares of words and of character trigrams that fall
 into each of a number of hash buckets, so that wording counts and not only form.
@@ -12,22 +15,32 @@ into each of a number of hash buckets, so that wording counts and not only form.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import crc_mod, map_slices, per_worker, read
+from ..operators import robust
+from .common import crc_mod, map_slices, materialize, per_worker, read, release, ship
 
 #: Hash buckets of words and of character trigrams (powers of two).
 WORD_BUCKETS, TRIGRAM_BUCKETS = 128, 128
-#: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
+#: A size for trials with learn(fit_rows=...), whose rows are chosen by a hash of their id. Without it all rows count.
 FIT_ROWS = 20_000
 HASHES = 1 << 40
-#: Partners that every fitted row is paired with.
-PARTNERS = 8
+#: Width of a cell of scores, and nodes in it: the logistic function is regular within pi of the real line, so that a
+#: polynomial through so many nodes is off by the order of 3.4 ** -24, 1e-13.
+CELL, NODES = 4.0, 24
+#: Rows that are standardised at a time.
+FIT_SLICE = 1024
+#: Steps of Newton's method, halved ones included, at most (some ten are usual).
+MOST_STEPS = 100
 #: Strength of the penalty on the squares of the weights (of standardised features).
 PENALTY = 1e-3
-#: The score that lies at the quantile of the sample which has as many rows below as there are of the worse label.
+#: The score that lies at the quantile of the labelled rows which has as many rows below as there are of the worse label.
 THRESHOLD = 0.7
 
 FEATURES = (
@@ -142,76 +155,255 @@ def features(texts: list[str]):
     return np.concatenate([shares, words_of, trigrams_of], axis=1).round(9)
 
 
-def fit(good, bad, partners: int = PARTNERS, penalty: float = PENALTY, seed: int = 7):
-    """Weights of the standardised features, their means and deviations. good, bad: feature rows of either label."""
+def nodes(cells):
+    """The scores at the nodes of cells, a row for each."""
+    import numpy as np
+
+    return (np.asarray(cells)[:, None] + 0.5 + np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES) / 2) * CELL
+
+
+def spread(scores):
+    """The cell of each score, and the shares by which it belongs to the nodes there: a smooth function's value at the score
+    is the sum of its values at the nodes, each times its share."""
+    import numpy as np
+    from numpy.polynomial.chebyshev import chebvander
+
+    cells = np.floor(scores / CELL).astype(np.int64)
+    to_nodes = chebvander(np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES), NODES - 1).T * (2 / NODES)
+    to_nodes[0] /= 2
+    return cells, chebvander(2 * (scores / CELL - cells) - 1, NODES - 1) @ to_nodes
+
+
+def logistic(x):
+    """The logistic function and its derivative."""
+    import numpy as np
+
+    small = np.exp(-np.abs(x))
+    return np.where(x < 0, small, 1.0) / (1 + small), small / (1 + small) ** 2
+
+
+def by_cell(good, cells):
+    """The rows of each (label, cell) that occurs."""
     import numpy as np
 
-    good, bad = np.array(good), np.array(bad)  # copies, standardised in place
-    n = len(good) + len(bad)
-    mean = (good.sum(axis=0) + bad.sum(axis=0)) / n
-    good -= mean
-    bad -= mean
-    deviation = np.sqrt(sum(np.einsum("ij,ij->j", x, x) for x in (good, bad)) / n)
+    for label in (0, 1):
+        for cell in np.unique(cells[good == label]).tolist():
+            yield label, cell, np.nonzero((good == label) & (cells == cell))[0]
+
+
+class Meeting:
+    """What every row meets in all rows of the other label, from the sums of shares by (label, cell)."""
+
+    def __init__(self, shares: dict):
+        import numpy as np
+
+        self.pairs = math.prod(sum(float(v.sum()) for (q, _), v in shares.items() if q == label) for label in (0, 1))
+        self.sides = [[c for q, c in sorted(shares) if q == label] for label in (0, 1)]
+        at = [nodes(c).ravel() for c in self.sides]
+        held = [np.concatenate([shares[label, c] for c in self.sides[label]]) for label in (0, 1)]
+        #: The mean of the loss over all pairs.
+        self.loss = 0.0
+        for cell in self.sides[1]:
+            self.loss += float(shares[1, cell] @ (np.logaddexp(0, at[0] - nodes([cell]).T) @ held[0])) / self.pairs
+        #: By label and cell: pulls and curves at the nodes; neighbours too, should rounding take a row across a border.
+        self.tables = {}
+        for label in (0, 1):
+            for cell in sorted({c + d for c in self.sides[label] for d in (-1, 0, 1)}):
+                apart = nodes([cell]).T - at[1 - label]
+                pull, curve = logistic(-apart if label else apart)
+                self.tables[label, cell] = np.stack([pull @ held[1 - label], curve @ held[1 - label]], axis=1)
+
+    def crossed(self, sums: dict, width: int):
+        """The sum over all pairs of the products of their features, each by its curve; sums: of features by (label, cell, node)."""
+        import numpy as np
+
+        keys = [sorted(k for k in sums if k[0] == label) for label in (0, 1)]
+        at = [np.array([nodes([c])[0, k] for _, c, k in some]) for some in keys]
+        bad = np.array([sums[k] for k in keys[0]])
+        out = np.zeros((width, width))
+        for i in range(0, len(keys[1]), 256):
+            good = np.array([sums[k] for k in keys[1][i : i + 256]])
+            out += good.T @ (logistic(at[1][i : i + 256, None] - at[0])[1] @ bad)
+        return out
+
+
+def minimum(total: Callable, penalty: float):
+    """Weights of the standardised features, their means and deviations; None unless both labels occur.
+
+    total(work) adds up, by key, the arrays that work(features, good) gives for each slice of the rows.
+    """
+    import numpy as np
+
+    first = total(lambda x, good: {("rows",): np.bincount(good, minlength=2).astype(np.float64), ("sum",): x.sum(axis=0)})
+    if not first or not first["rows",].all():
+        return None
+    n = first["rows",].sum()
+    mean = first["sum",] / n
+    deviation = np.sqrt(total(lambda x, good: {("square",): np.einsum("ij,ij->j", x - mean, x - mean)})["square",] / n)
     deviation[deviation < 1e-9] = 1.0
-    good /= deviation
-    bad /= deviation
-    draw = np.random.default_rng(seed)
-    n = max(len(good), len(bad))
-    pick = lambda rows: draw.permutation(len(rows))[np.arange(n) % len(rows)]
-    pairs = [(pick(good), pick(bad)) for _ in range(partners)]
-    weights = np.zeros(good.shape[1])
-    for _ in range(25):  # Newton's method; the pairs are gone through some at a time
-        slope, curve = penalty * weights, penalty * np.eye(len(weights))
-        for i, j in pairs:
-            for at in range(0, n, 2048):
-                difference = good[i[at : at + 2048]] - bad[j[at : at + 2048]]
-                p = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-                slope = slope - difference.T @ p / (n * partners)
-                curve = curve + (difference * (p * (1 - p))[:, None]).T @ difference / (n * partners)
-        step = np.linalg.solve(curve, slope)
-        weights = weights - step
+    width = len(mean)
+
+    def shares(weights):
+        def work(x, good):
+            cells, share = spread((x - mean) / deviation @ weights)
+            return {(label, cell): share[rows].sum(axis=0) for label, cell, rows in by_cell(good, cells)}
+
+        return work
+
+    def slopes(weights, tables):
+        def work(x, good):
+            x = (x - mean) / deviation
+            cells, share = spread(x @ weights)
+            pull, curve, out = np.zeros(len(x)), np.zeros(len(x)), {}
+            for label, cell, rows in by_cell(good, cells):
+                pull[rows], curve[rows] = (share[rows] @ tables[label, cell]).T
+                for k, of in enumerate(share[rows].T @ x[rows]):
+                    out[label, cell, k] = of
+            product = (x * curve[:, None]).T @ x
+            return out | {("pull",): np.where(good == 1, pull, -pull) @ x} | {("curve", i): product[i, i:] for i in range(width)}
+
+        return work
+
+    weights, step, least = np.zeros(width), np.zeros(width), math.inf
+    for _ in range(MOST_STEPS):
+        meeting = Meeting(total(shares(weights - step)))
+        loss = meeting.loss + penalty / 2 * float(((weights - step) ** 2).sum())
+        if loss > least + 1e-12:  # too far
+            step = step / 2
+            continue
+        weights, least = weights - step, loss
+        sums = total(slopes(weights, meeting.tables))
+        curve = np.zeros((width, width))
+        for i in range(width):
+            curve[i, i:] = curve[i:, i] = sums["curve", i]
+        cross = meeting.crossed({k: v for k, v in sums.items() if len(k) == 3}, width)
+        curve = penalty * np.eye(width) + (curve - cross - cross.T) / meeting.pairs
+        step = np.linalg.solve(curve, penalty * weights - sums["pull",] / meeting.pairs)
         if np.abs(step).max() < 1e-9:
-            break
-    return weights, mean, deviation
+            return weights - step, mean, deviation
+    raise RuntimeError(f"the weights did not settle in {MOST_STEPS} steps")
 
 
-def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """About fit_rows rows, and hardly more, of docs(doc_id, text) that labels(doc_id, quality) mark, with quality and _hash:
-    those whose ids have the least hashes. The bound on the hash follows from the number of rows. Equal rows count once, and
-    the better one of a document's labels."""
+def add(totals: dict, more: dict) -> None:
+    for key, value in more.items():
+        totals[key] = totals[key] + value if key in totals else value
+
+
+def fit(good, bad, penalty: float = PENALTY):
+    """Weights of the standardised features, their means and deviations. good, bad: feature rows of either label."""
+    import numpy as np
+
+    x = np.concatenate([good, bad])
+    labels = np.repeat([1, 0], [len(good), len(bad)])
+
+    def total(work):
+        out = {}
+        for at in range(0, len(x), FIT_SLICE):
+            add(out, work(x[at : at + FIT_SLICE], labels[at : at + FIT_SLICE]))
+        return out
+
+    return minimum(total, penalty)
+
+
+def feature_slices(batches):
+    """Batches of (quality, features) as (matrix, labels), few rows at a time."""
+    import numpy as np
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, FIT_SLICE):
+            some = batch.slice(at, FIT_SLICE)
+            rows = some.column("features").to_pylist()
+            yield np.frombuffer(b"".join(rows)).reshape(len(rows), -1), some.column("quality").to_numpy(zero_copy_only=False)
+
+
+def summed(rows: DataFrame, work: Callable) -> dict:
+    """The arrays that work(features, good) gives for the slices of rows(quality, features), added up by key. Tasks add
+    their slices, then keys are dealt to tasks; the driver gets one array for each key, however many rows there are."""
+    import json
+
+    import numpy as np
+
+    schema = T.StructType.fromDDL("key string, total binary")
+    arrow = to_arrow_schema(schema)
+
+    def packed(totals):
+        if totals:
+            yield pa.RecordBatch.from_pydict({"key": list(totals), "total": [v.tobytes() for v in totals.values()]}, schema=arrow)
+
+    def run(batches):
+        totals = {}
+        for x, good in feature_slices(batches):
+            add(totals, work(x, good))
+        yield from packed({json.dumps(k): v for k, v in totals.items()})
+
+    def join(batches):
+        totals = {}
+        for batch in batches:
+            for key, value in zip(batch.column("key").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                add(totals, {key: np.frombuffer(value)})
+        yield from packed(totals)
+
+    found = rows.mapInArrow(run, schema).repartition("key").mapInArrow(join, schema).collect()
+    return {tuple(json.loads(r["key"])): np.frombuffer(r["total"]) for r in found}
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text) that labels(doc_id, quality) mark, with quality. Equal rows count once, and the better
+    one of a document's labels."""
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return docs.select("doc_id", "text").join(marked, "doc_id").distinct()
+
+
+def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """About fit_rows rows of labelled(), with _hash: those whose ids have the least hashes. The bound on the hash follows
+    from the number of rows."""
     keyed = lambda df: df.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)))
-    n = docs.select("doc_id").join(marked, "doc_id").count()
+    n = docs.select("doc_id").join(labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct(), "doc_id").count()
     if n > fit_rows:
         below = int(HASHES * fit_rows / n)
-        docs, marked = (keyed(df).where(F.col("_hash") < below).drop("_hash") for df in (docs, marked))
-    return keyed(docs.select("doc_id", "text").join(marked, "doc_id").distinct())
+        docs, labels = (keyed(df).where(F.col("_hash") < below).drop("_hash") for df in (docs, labels))
+    return keyed(labelled(docs, labels))
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
-    """The model from docs(doc_id, text) and labels(doc_id, quality); None unless both labels occur.
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int | None = None) -> dict | None:
+    """The model from all rows of docs(doc_id, text) that labels(doc_id, quality) mark; None unless both labels occur.
 
-    Tasks send packed features of the sampled rows, fit_rows at most, to the driver.
+    fit_rows: for trials, to learn from about so many of them only. The features of all rows are a table; the driver gets
+    sums whose size is that of the features and of the range of the scores.
     """
     import numpy as np
 
+    ship(docs.sparkSession)
+
     def start():
         def work(rows):
-            return {k: rows[k] for k in ("_hash", "doc_id", "quality")} | {"features": [x.tobytes() for x in features([t or "" for t in rows["text"]])]}
+            return {"quality": rows["quality"], "features": [x.tobytes() for x in features([t or "" for t in rows["text"]])]}
 
         return work
 
-    rows = map_slices(sampled(docs, labels, fit_rows), "_hash long, doc_id long, quality int, features binary", start).collect()
-    rows = sorted(rows, key=lambda r: (r["_hash"], r["doc_id"], bytes(r["features"])))[:fit_rows]
-    good, bad = (np.array([np.frombuffer(r["features"]) for r in rows if r["quality"] == q]) for q in (1, 0))
-    if not len(good) or not len(bad):
+    rows = labelled(docs, labels) if fit_rows is None else sampled(docs, labels, fit_rows)
+    rows = materialize(map_slices(rows, "quality int, features binary", start), "quality-features")
+    found = minimum(lambda work: summed(rows, work), PENALTY)
+    if found is None:
+        release(rows)
         return None
-    del rows
-    weights, mean, deviation = fit(good, bad)
-    raw = np.concatenate([x @ (weights / deviation) for x in (good, bad)]) - mean @ (weights / deviation)
-    # Between the rows of rank len(bad) and the next: midway, if the labels are parted there.
-    edge = float(np.quantile(raw, (len(bad) - 0.5) / (len(raw) - 1)))
-    return {"weights": weights.tolist(), "mean": mean.tolist(), "deviation": deviation.tolist(), "edge": edge}
+    weights, mean, deviation = found
+    by = weights / deviation
+    shift = float(mean @ by)
+    schema = T.StructType.fromDDL("bad boolean, raw double")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for x, good in feature_slices(batches):
+            # One row by one, so that equal rows are equal here.
+            yield pa.RecordBatch.from_pydict({"bad": good == 0, "raw": (x * by).sum(axis=1) - shift}, schema=arrow)
+
+    raw = materialize(rows.mapInArrow(run, schema), "quality-scores")
+    bad, n = raw.agg(F.count_if("bad"), F.count("*")).first()
+    # Between the rows of rank bad and the next: midway, if the labels are parted there.
+    (edge,) = robust.quantiles(raw, "raw", [(bad - 0.5) / (n - 1)])
+    release(rows, raw)
+    return {"weights": np.asarray(weights).tolist(), "mean": mean.tolist(), "deviation": deviation.tolist(), "edge": edge}
 
 
 class Judge:
