@@ -66,3 +66,37 @@ def test_drift_of_turned_images(spark):
     got = near.drift(points, tree, homographies, lambda a, b: [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], (640.0, 480.0), 1.0).first()
     assert got["cycle_edges"] == want["cycle_edges"] > 50
     assert got["mean_drift_px"] == pytest.approx(want["mean_drift_px"]) and got["max_drift_px"] == pytest.approx(want["max_drift_px"])
+
+
+@pytest.mark.parametrize("radius,size", [(0.0, 64), (0.3, 32), (1.0, 64), (3.0, 500)])
+def test_components(spark, radius, size):
+    points = cloud(spark)
+    want = graph.components(edges_of(points, radius))
+    assert rows(near.components(points, radius, block_rows=size).where("size > 1"), "node", "root") == rows(want, "node", "root")
+
+
+def test_crowded_cells_that_just_meet(spark):
+    """Two crowds, of which one point each is near the other's; a third is a little farther."""
+    crowd = lambda x, k: [(k + i, x + 0.0001 * (i % 7), 0.01 * (i // 40), 0.0) for i in range(200)]
+    points = [*crowd(0.0, 0), *crowd(1.3, 1000), *crowd(3.0, 2000), (500, 0.4, 0.0, 0.0), (1500, 1.1, 0.0, 0.0)]
+    points = spark.createDataFrame(points, "image_id long, x double, y double, z double")
+    got = {r["node"]: (r["root"], r["size"]) for r in near.components(points, 0.75, block_rows=150).collect()}
+    assert got[0] == got[500] == got[1199] == got[1500] == (0, 402) and got[2000] == got[2199] == (2000, 200)
+
+
+@pytest.mark.parametrize("name", ["components", "component_sizes", "largest_component_reference", "unreachable", "cycle_edges", "bfs_levels"])
+def test_queries_make_no_table_of_edges(spark, sf_dir, monkeypatch, name):
+    """What they give is held against their SQL in test_oracle."""
+    got = small(name, spark, sf_dir, monkeypatch)
+    assert got.columns
+
+
+def test_ids_that_are_there_twice_join_their_places(spark, sf_dir, tmp_path, duck):
+    twice = duck.sql("SELECT vec_id % 40 AS vec_id, embedding, label FROM embeddings WHERE vec_id < 50").arrow()
+    import pyarrow.parquet as pq
+
+    pq.write_table(twice.read_all() if hasattr(twice, "read_all") else twice, tmp_path / "embeddings.parquet")
+    con = __import__("duckdb").connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = sorted(con.execute(graphs.EDGES + " SELECT node, root FROM comp").fetchall())
+    assert sorted(map(tuple, graphs.components(spark, str(tmp_path)).collect())) == want
