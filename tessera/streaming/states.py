@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..durable import ship
+from ..durable import materialize, ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -265,13 +265,25 @@ def reordered_stream(packets: DataFrame, wait_ms: int = 2000) -> DataFrame:
 
 
 def reordered(packets: DataFrame, wait_ms: int = 2000) -> DataFrame:
-    """Batch form on packets(stream_id, sequence_id, at_ms)."""
+    """Batch form on packets(stream_id, sequence_id, at_ms).
+
+    Rows are dealt by ranges of (stream, number), so that a long stream is many tasks'. What a packet has to know of others is
+    the earliest time behind it and the last kept number before it: within its range by a window that goes one way, so that
+    each row is looked at once, and beyond it from a short table of ranges.
+    """
     once = packets.where("stream_id IS NOT NULL AND sequence_id IS NOT NULL AND at_ms IS NOT NULL").groupBy("stream_id", "sequence_id").agg(F.min("at_ms").alias("at_ms"))
-    begin = once.groupBy("stream_id").agg(F.min("at_ms").alias("begin"))
-    order = Window.partitionBy("stream_id").orderBy("sequence_id")
-    later = F.min("at_ms").over(order.rowsBetween(1, Window.unboundedFollowing))
-    in_time = once.join(begin, "stream_id").withColumn("later", later).where(F.col("later").isNull() | (F.col("at_ms") <= F.col("later") + wait_ms))
+    dealt = materialize(once.repartitionByRange("stream_id", "sequence_id").withColumn("_range", F.spark_partition_id()), "packet-ranges")
+    back = Window.partitionBy("stream_id", "_range").orderBy(F.desc("sequence_id")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("stream_id").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("stream_id", "_range").agg(F.min("at_ms").alias("_least"))
+    ranges = ranges.select("stream_id", "_range", F.min("_least").over(behind).alias("_later"), F.min("_least").over(Window.partitionBy("stream_id")).alias("begin"))
+    later = F.least(F.min("at_ms").over(back), "_later")
+    in_time = dealt.join(ranges, ["stream_id", "_range"]).withColumn("later", later).where(F.col("later").isNull() | (F.col("at_ms") <= F.col("later") + wait_ms))
+    in_time = materialize(in_time.select("stream_id", "_range", "sequence_id", "at_ms", "begin"), "packets-in-time")
     first = in_time.where(F.col("at_ms") <= F.col("begin") + wait_ms).groupBy("stream_id").agg(F.min("sequence_id").alias("first"))
     kept = in_time.join(first, "stream_id").where("sequence_id >= first")
-    lost = F.coalesce(F.col("sequence_id") - F.lag("sequence_id").over(order) - 1, F.lit(0)).cast("long")
-    return kept.select("stream_id", "sequence_id", "at_ms", lost.alias("lost"))
+    before = Window.partitionBy("stream_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = kept.groupBy("stream_id", "_range").agg(F.max("sequence_id").alias("_end")).select("stream_id", "_range", F.max("_end").over(before).alias("_end"))
+    near = F.coalesce(F.lag("sequence_id").over(Window.partitionBy("stream_id", "_range").orderBy("sequence_id")), "_end")
+    lost = F.coalesce(F.col("sequence_id") - near - 1, F.lit(0)).cast("long")
+    return kept.join(ends, ["stream_id", "_range"]).select("stream_id", "sequence_id", "at_ms", lost.alias("lost"))
