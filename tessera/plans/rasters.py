@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import materialize
 from ..functions import text
 from ..operators import coverage as C
 from ..operators import tiles
@@ -63,8 +64,9 @@ def cell_owners(spark, sf_dir):
     SELECT cx, cy, arg_max(image_id, inside * 1000000 - image_id) AS image_id FROM k GROUP BY cx, cy""",
 )
 def seam_owners(spark, sf_dir):
-    """Each covered cell to the image whose border is farthest from it."""
-    return tiles.cells_of(tiles.seams(tiled(spark, sf_dir), WIDTH, HEIGHT), WIDTH, HEIGHT)
+    """Each covered cell to the image whose border is farthest from it. Numbers beyond a million count as steps, as in the SQL."""
+    feet = materialize(tiles.first_of_equal(footprints(spark, sf_dir), WIDTH, HEIGHT), "footprints")
+    return tiles.cells_of(tiles.seams(tiles.tiled(feet, WIDTH, HEIGHT), WIDTH, HEIGHT, worth=1_000_000), WIDTH, HEIGHT)
 
 
 #: A wall of 61 m x 42 m at 100 cells a metre, with footprints whose sides lie on a grid of UNIT cells.
